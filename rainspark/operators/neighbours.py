@@ -85,21 +85,20 @@ def nearest_k(
     """
     spark = queries.sparkSession
     g = list(group)
-    at_place = W.partitionBy(*g, x, y).orderBy(*tie)
-    # equal places: only the first k by tie can be among the k nearest of anybody
+    named = [*tie, *[c for c in payload if c not in tie]]
+    at_place = W.partitionBy(*g, "_x", "_y").orderBy(*tie)
     usable = points.dropna(subset=[x, y]).select(
-        *g, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), x, y, *tie,
-        *[c for c in payload if c not in tie],
+        *g, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *named
     )
+    # equal places: only the first k by tie can be among the k nearest of anybody
     pts = materialise(
-        usable.withColumn("_rn", F.row_number().over(at_place)).filter(F.col("_rn") <= k)
-        .drop("_rn", x, y),
+        usable.withColumn("_rn", F.row_number().over(at_place)).filter(F.col("_rn") <= k).drop("_rn"),
         "points",
     )
     frame = pts.agg(
         F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y"), F.count("*")
     ).first()
-    fields = ["d2", *tie, *[c for c in payload if c not in tie]]
+    fields = ["d2", *named]
     kind = ",".join(
         f"`{c}`:{'double' if c == 'd2' else pts.schema[c].dataType.simpleString()}" for c in fields
     )
@@ -109,7 +108,7 @@ def nearest_k(
     side = max(frame[1] - x0, frame[3] - y0) or 1.0
 
     nodes, depth = _tile_tree(pts, g, x0, y0, side)
-    leaves = _leaves(pts, nodes, g, depth, x0, y0, side, fields[1:])
+    leaves = _leaves(pts, nodes, g, depth, x0, y0, side, named)
 
     # blocks as fine as the tiles of an even spread would be
     even = math.ceil(math.log(max(frame[4] / LEAF, 1.0), 16))
@@ -155,7 +154,7 @@ def nearest_k(
 
     def ranked(p: Column) -> Column:
         dx, dy = F.col(x) - p["_x"], F.col(y) - p["_y"]
-        return F.struct((dx * dx + dy * dy).alias("d2"), *[p[c].alias(c) for c in fields[1:]])
+        return F.struct((dx * dx + dy * dy).alias("d2"), *[p[c].alias(c) for c in named])
 
     best = F.slice(F.array_sort(F.transform("_near", ranked)), 1, k)
     empty = F.from_json(F.lit("[]"), f"array<struct<{kind}>>")

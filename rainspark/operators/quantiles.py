@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from rainspark.session import materialise
+
 BINS = 1024
 
 
@@ -48,14 +50,16 @@ def exact_quantiles(
 ) -> DataFrame:
     """(groups..., prob, q, n): NumPy's default linear quantile of the non-NULL values.
 
-    `groups` must be non-NULL columns; give none for a single group.
+    `groups` must be non-NULL columns; give none for a single group. The value counts are written
+    once, since every step reads them.
     """
     keys = ["_g", *groups]
-    counts = (
+    counts = materialise(
         df.filter(F.col(value).isNotNull())
         .withColumn("_g", F.lit(0))
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n")),
+        "values",
     )
     sizes = counts.groupBy(*keys).agg(
         F.sum("n").alias("total"), F.min("v").alias("low"), F.max("v").alias("high")
