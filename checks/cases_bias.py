@@ -12,7 +12,7 @@ from checks.sql_views import r6 as q6
 from rainspark.operators import bias, describe, diagnostics, extremes
 from rainspark.operators.raster import sample_raster
 from rainspark.plans import bias_correction
-from rainspark.session import shared_folder
+from rainspark.session import materialise, shared_folder
 from rainspark.sources import columns, inventory, pairs as pair_files
 
 ZETA_SQL = f"""
@@ -33,7 +33,8 @@ def _zetas(spark, d, method="mean"):
 
 
 def _pairs_with_zeta(spark, d):
-    pairs = _pairs(spark, d)
+    # the pair table is an output of its own, written once and read by both sides
+    pairs = materialise(_pairs(spark, d), "pairs")
     return bias.with_zeta(pairs, bias.zeta(pairs))
 
 
@@ -61,6 +62,19 @@ def event_pairs(spark, d):
     return _pairs(spark, d)
 
 
+@case("product_at_events", f"""
+SELECT k.code, k.date, p.product, coalesce(x.pr_p, 0e0) AS pr_p
+FROM v_kept k JOIN v_stations s ON s.code = k.code CROSS JOIN (SELECT DISTINCT product FROM v_products) p
+LEFT JOIN v_products x ON x.product = p.product AND x.date = k.date
+  AND x.r = floor((5e0 - s.lat) / 9.5e0) AND x.c = floor((s.lon + 73e0) / 9.5e0)
+WHERE s.lat > -33e0""")
+def product_at_events(spark, d):
+    cells = extremes.station_cells(t.stations(spark, d), t.COARSE)
+    events = extremes.extremes(t.gauge_daily(spark, d)).join(cells.select("code", "row", "col"), "code")
+    sampled = extremes.sample_product(events, t.product_daily(spark, d), [p for p, _ in t.FACTORS])
+    return sampled.select("code", "date", "product", "pr_p")
+
+
 @case("pairs_roundtrip", f"""
 SELECT product, CAST(year(date) AS INTEGER) AS year, count(*) AS n, {q6("sum(ratio)", 4)} AS ratio_sum
 FROM v_pairs GROUP BY 1, 2""")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rainspark.grid import CETESB_FACTORS, DURATIONS_MIN, Grid
 from rainspark.operators.polygons import rectangle
+from rainspark.session import materialise
 
 COARSE = Grid(-73.0, 5.0, 9.5, 9.5, 4, 4)
 FINE = Grid(-73.0, 5.0, 0.38, 0.19, None, 100)
@@ -184,7 +185,11 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def station_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station ratio columns with notes and deliberate dips: code, lat, lon, note, all_c5 ... ."""
+    """Station ratio columns with notes and deliberate dips: code, lat, lon, note, all_c5 ... .
+
+    Written once, as such a table is a file: the optimizer would otherwise push filters on the
+    twelve columns into their definitions and spend seconds on the combinations.
+    """
     k = F.col("s_suppkey")
     scale = F.lit(1.0) - F.lit(0.002) * (k % 10).cast("double")
     columns = []
@@ -195,8 +200,11 @@ def station_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             v = F.when(k % 11 == 0, v * 0.5).otherwise(v)
         columns.append(v.alias(f"all_c{d}"))
     note = F.when(k % 7 == 0, "poor fit").otherwise("fit OK").alias("note")
-    return stations(spark, sf_dir).select("code", "s_suppkey", "lat", "lon").select(
-        "code", "lat", "lon", note, *columns
+    return materialise(
+        stations(spark, sf_dir).select("code", "s_suppkey", "lat", "lon").select(
+            "code", "lat", "lon", note, *columns
+        ),
+        "stations",
     )
 
 

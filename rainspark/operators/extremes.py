@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rainspark.functions.numeric import clip_low, within_or_null
@@ -76,16 +78,14 @@ def station_cells(stations: DataFrame, grid: Grid) -> DataFrame:
     return unique.withColumn("row", row).withColumn("col", col).filter(grid.inside(row, col))
 
 
-def sample_product(events: DataFrame, product_daily: DataFrame) -> DataFrame:
-    """Product rain of each event's cell and day; a missing image counts as 0.
+def sample_product(
+    events: DataFrame, product_daily: DataFrame, products: Sequence[str]
+) -> DataFrame:
+    """Rain of each of `products` at each event's cell and day; a missing image counts as 0.
 
-    `events` carries (row, col, date). Every product of `product_daily` is sampled: its few
-    labels are spread over the events first, so that a missing day is seen for each of them.
+    `events` carries (row, col, date); the product table is unique per (product, date, row, col).
     """
-    labels = product_daily.select("product").distinct().agg(
-        F.sort_array(F.collect_set("product")).alias("products")
-    )
-    spread = events.withColumn("product", F.explode(labels.scalar()))
+    spread = events.withColumn("product", F.explode(F.array(*[F.lit(p) for p in products])))
     keys = ["product", "date", "row", "col"]
     sampled = spread.join(product_daily.select(*keys, "pr_p"), keys, "left")
     return sampled.withColumn("pr_p", F.coalesce("pr_p", F.lit(0.0)))
@@ -96,14 +96,14 @@ def event_pairs(
 ) -> DataFrame:
     """(product, station_id, lat, lon, date, pr_p, pr_g, ratio) with both rains above `min_mm`.
 
-    The product must be unique per (product, date, row, col).
+    A missing image would count as 0 mm and fail that bound, so an inner join says the same, and
+    the bound reaches the scan of the product. Events are few, so they are reduced first; the
+    product must be unique per (product, date, row, col).
     """
     cells = station_cells(stations, grid).select("code", "lat", "lon", "row", "col")
-    sampled = sample_product(events.join(cells, "code"), product_daily)
-    return (
-        sampled.filter((F.col("pr_p") > min_mm) & (F.col("pr_g") > min_mm))
-        .select(
-            "product", F.col("code").alias("station_id"), "lat", "lon", "date", "pr_p", "pr_g",
-            (F.col("pr_g") / F.col("pr_p")).alias("ratio"),
-        )
+    wet = product_daily.filter(F.col("pr_p") > min_mm).select("product", "date", "row", "col", "pr_p")
+    located = events.filter(F.col("pr_g") > min_mm).join(cells, "code")
+    return located.join(wet, ["date", "row", "col"]).select(
+        "product", F.col("code").alias("station_id"), "lat", "lon", "date", "pr_p", "pr_g",
+        (F.col("pr_g") / F.col("pr_p")).alias("ratio"),
     )

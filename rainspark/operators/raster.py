@@ -155,6 +155,8 @@ def fill_nearest(
         "*", F.lit(None).cast("int").alias("src_row"), F.lit(None).cast("int").alias("src_col"),
         F.lit(0.0).alias("src_dist"),
     )
+    if bad.isEmpty():
+        return kept
     # row/col order decides between equally near cells; the bands travel with the neighbour
     near = nearest_k(
         bad, good, 1, tie=["row", "col"], payload=list(bands), group=keys, x="col", y="row"

@@ -59,6 +59,14 @@ def wide_to_long(
     ).select(*ids, F.col("v.date").alias("date"), coerce_numeric(F.col("v.mm")).alias("pr_g"))
 
 
+def write_bucketed(daily: DataFrame, table: str, buckets: int) -> None:
+    """Long table bucketed and sorted by station.
+
+    Per-station and per-station-year windows and aggregates over such a table need no shuffle.
+    """
+    daily.write.mode("overwrite").bucketBy(buckets, "code").sortBy("code", "date").saveAsTable(table)
+
+
 def crop_period(daily: DataFrame, start: str, end: str) -> DataFrame:
     """Inclusive at both ends."""
     return daily.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
