@@ -38,7 +38,10 @@ def record_length(start: Column, end: Column) -> Column:
 
 
 def auto_bins(values: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """(groups, low, high, n, n_bins): the narrower of the Sturges and Freedman-Diaconis widths."""
+    """(groups, low, high, n, n_bins): the narrower of the Sturges and Freedman-Diaconis widths.
+
+    This is NumPy's 'auto' up to 2.2; later releases also keep the second from becoming too narrow.
+    """
     q = quantile_columns(
         values, groups, value, {"low": 0.0, "q1": 0.25, "q3": 0.75, "high": 1.0}
     )

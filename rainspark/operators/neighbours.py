@@ -20,6 +20,7 @@ from rainspark.session import materialise
 
 LEAF = 32          # points a tile may hold before it is split
 MAX_LEVEL = 10     # 4^10 tiles per axis
+SALTS = 8          # shares of a block's queries
 SLACK = 1 + 1e-9   # keeps rounding from dropping a tile that touches the bound
 
 TILE = "struct<level:int,tx:bigint,ty:bigint,n:bigint,x1:double,x2:double,y1:double,y2:double>"
@@ -95,8 +96,9 @@ def nearest_k(
         usable.withColumn("_rn", F.row_number().over(at_place)).filter(F.col("_rn") <= k).drop("_rn"),
         "points",
     )
+    groups = F.approx_count_distinct(F.struct(*g)) if g else F.lit(1)
     frame = pts.agg(
-        F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y"), F.count("*")
+        F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y"), F.count("*"), groups
     ).first()
     fields = ["d2", *named]
     kind = ",".join(
@@ -107,12 +109,12 @@ def nearest_k(
     x0, y0 = frame[0], frame[2]
     side = max(frame[1] - x0, frame[3] - y0) or 1.0
 
-    nodes, depth = _tile_tree(pts, g, x0, y0, side)
+    even = _even_level(frame[4] / max(frame[5], 1))
+    nodes, depth = _tile_tree(pts, g, even, x0, y0, side)
     leaves = _leaves(pts, nodes, g, depth, x0, y0, side, named)
 
     # blocks as fine as the tiles of an even spread would be
-    even = math.ceil(math.log(max(frame[4] / LEAF, 1.0), 16))
-    step = side / 4 ** min(max(even, 0), MAX_LEVEL)
+    step = side / 4 ** even
     located = queries.withColumn("_bx", F.floor((F.col(x) - x0) / step)).withColumn(
         "_by", F.floor((F.col(y) - y0) / step)
     )
@@ -158,28 +160,38 @@ def nearest_k(
 
     best = F.slice(F.array_sort(F.transform("_near", ranked)), 1, k)
     empty = F.from_json(F.lit("[]"), f"array<struct<{kind}>>")
+    # ranking is the costly part: spread the queries over all tasks, those of one block as well
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salted = located.withColumn("_salt", F.pmod(F.xxhash64(*queries.columns), F.lit(SALTS)).cast("int"))
+    lists = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        located.join(near, block, "left")
+        salted.repartition(width, *block, "_salt")
+        .join(lists, [*block, "_salt"], "left")
         .withColumn("neighbours", F.coalesce(best, empty))
-        .drop("_bx", "_by", "_near")
+        .drop("_bx", "_by", "_near", "_salt")
     )
 
 
-def _tile_tree(pts: DataFrame, g: list[str], x0: float, y0: float, side: float):
-    """Split tiles with the counts and extents of their children, and the depth of the tree."""
-    finest = pts.select(
-        *g, "_x", "_y", _tile(F.col("_x"), x0, side, MAX_LEVEL).alias("fx"),
-        _tile(F.col("_y"), y0, side, MAX_LEVEL).alias("fy"),
-    )
-    # extents of the finest tiles first, so that a crowd of points is reduced before it fans out
-    base = finest.groupBy(*g, "fx", "fy").agg(
+def _even_level(count: float) -> int:
+    """Level at which evenly spread points would fill the tiles to `LEAF`."""
+    return min(max(math.ceil(math.log(max(count / LEAF, 1.0), 16)), 0), MAX_LEVEL)
+
+
+def _counted(pts: DataFrame, g: list[str], level: int, x0: float, y0: float, side: float) -> DataFrame:
+    """Tiles of one level with the number and extent of their points."""
+    return pts.groupBy(
+        *g, _tile(F.col("_x"), x0, side, level).alias("fx"), _tile(F.col("_y"), y0, side, level).alias("fy")
+    ).agg(
         F.count("*").alias("n"), F.min("_x").alias("x1"), F.max("_x").alias("x2"),
         F.min("_y").alias("y1"), F.max("_y").alias("y2"),
     )
-    levels = F.explode(F.sequence(F.lit(1), F.lit(MAX_LEVEL)))
-    shift = F.pow(F.lit(4.0), F.lit(MAX_LEVEL) - F.col("level"))
-    tiles = (
-        base.withColumn("level", levels)
+
+
+def _coarser(base: DataFrame, g: list[str], first: int, level: int) -> DataFrame:
+    """Tiles of the levels `first` to `level` from those of `level`."""
+    shift = F.pow(F.lit(4.0), F.lit(level) - F.col("level"))
+    return (
+        base.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(level))))
         .withColumn("tx", F.floor(F.col("fx") / shift)).withColumn("ty", F.floor(F.col("fy") / shift))
         .groupBy(*g, "level", "tx", "ty")
         .agg(
@@ -187,6 +199,25 @@ def _tile_tree(pts: DataFrame, g: list[str], x0: float, y0: float, side: float):
             F.min("y1").alias("y1"), F.max("y2").alias("y2"),
         )
     )
+
+
+def _tile_tree(pts: DataFrame, g: list[str], even: int, x0: float, y0: float, side: float):
+    """Split tiles with the counts and extents of their children, and the depth of the tree.
+
+    Most places need no level below that of an even spread; only the points of tiles that are
+    still crowded there are counted further down.
+    """
+    even = min(even + 1, MAX_LEVEL)
+    base = materialise(_counted(pts, g, even, x0, y0, side), "tiles")
+    tiles = _coarser(base, g, 1, even)
+    crowded = base.filter(F.col("n") > LEAF)
+    if even < MAX_LEVEL and not crowded.isEmpty():
+        here = pts.withColumn("fx", _tile(F.col("_x"), x0, side, even)).withColumn(
+            "fy", _tile(F.col("_y"), y0, side, even)
+        )
+        crowd = here.join(crowded.select(*g, "fx", "fy"), [*g, "fx", "fy"], "left_semi")
+        deep = _counted(crowd.drop("fx", "fy"), g, MAX_LEVEL, x0, y0, side)
+        tiles = tiles.unionByName(_coarser(deep, g, even + 1, MAX_LEVEL))
     child = F.struct("level", "tx", "ty", "n", "x1", "x2", "y1", "y2").cast(TILE)
     nodes = (
         tiles.groupBy(
@@ -196,7 +227,7 @@ def _tile_tree(pts: DataFrame, g: list[str], x0: float, y0: float, side: float):
         .agg(F.sum("n").alias("n"), F.collect_list(child).alias("children"))
         .filter(F.col("n") > LEAF)
     )
-    nodes = materialise(nodes, "tiles")
+    nodes = materialise(nodes, "nodes")
     deepest = nodes.agg(F.max("level")).first()[0]
     return nodes, 0 if deepest is None else deepest + 1
 

@@ -110,6 +110,14 @@ def fit_durations(
     )
 
 
+def fitted_constant(ratios: Sequence[float], durations: Sequence[int] = DURATIONS_MIN) -> Column:
+    """`dur` of one fixed vector as a literal: twelve numbers, fitted while the plan is built."""
+    minutes = np.array(durations, dtype=float)
+    row = _search(np.array([ratios], dtype=float) / (minutes / 60.0), minutes).iloc[0]
+    kinds = [f.split() for f in DUR.split(", ")]
+    return F.struct(*[F.lit(row[name].item()).cast(kind).alias(name) for name, kind in kinds])
+
+
 def _total(columns: list[Column]) -> Column:
     out = columns[0]
     for c in columns[1:]:

@@ -20,9 +20,8 @@ def duration_fits(
     `cells`: row, col, lat, lon. Each mode is fitted where its vectors are fewest: the fixed
     vector once, the station vectors before they spread over cells, the raster vectors per cell.
     """
-    fixed = sherman.fit_durations(disaggregation.cetesb(cells.sparkSession)).select("dur")
-    # one row, sent to every cell as a literal subquery
-    out = cells.select(F.lit("CETESB").alias("disagg"), "row", "col", fixed.scalar().alias("dur"))
+    fixed = sherman.fitted_constant(disaggregation.cetesb_ratios())
+    out = cells.select(F.lit("CETESB").alias("disagg"), "row", "col", fixed.alias("dur"))
     if stations is not None:
         usable = sherman.fit_durations(disaggregation.usable_stations(stations))
         near = disaggregation.station_ratios(usable, cells, ["dur"])
