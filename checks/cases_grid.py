@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import dataclasses
-import json
 
 from pyspark.sql import functions as F
 
@@ -16,9 +15,7 @@ from rainspark.operators import (
 )
 from rainspark.operators.neighbours import nearest_k
 from rainspark.plans import bias_correction, idf_fit
-from rainspark.session import materialise
 from rainspark.sources import rasters
-from rainspark.sources.daily import crop_period
 
 RC = 'r AS "row", c AS col'
 CELL = ["product", "bias", "row", "col"]
@@ -34,6 +31,11 @@ def _located(spark, d):
     return raster.cell_centres(t.fine_cells(spark, d), t.FINE)
 
 
+def _product_cells(spark, d):
+    products = F.explode(F.array(*[F.lit(p) for p, _ in t.FACTORS])).alias("product")
+    return _located(spark, d).select(products, "row", "col", "lat", "lon")
+
+
 # rasters and neighbours -----------------------------------------------------------------------
 @case("grid_nodes", """
 SELECT CAST(i AS INTEGER) AS iy, CAST(j AS INTEGER) AS ix, miny - 0.5e0 + i * 0.5e0 AS lat, minx - 0.5e0 + j * 0.5e0 AS lon
@@ -67,33 +69,29 @@ SELECT product, {RC}, {q6('least(greatest(sum(w * zeta) / sum(w), 0.25e0), 10e0)
            (k.lon - z.lon) * (k.lon - z.lon) + (k.lat - z.lat) * (k.lat - z.lat), z.station_id) AS rank
   FROM v_cells k, v_zeta z) WHERE rank <= 8 GROUP BY product, r, c""")
 def idw_surface(spark, d):
-    zetas = _zetas(spark, d)
-    products = F.explode(F.array(*[F.lit(p) for p, _ in t.FACTORS])).alias("product")
-    cells = _located(spark, d).select(products, "row", "col", "lat", "lon")
-    surface = bias_correction.zeta_surface(zetas, cells)
+    surface = bias_correction.zeta_surface(_zetas(spark, d), _product_cells(spark, d))
     return surface.filter("zeta IS NOT NULL").select("product", "row", "col", r6("zeta").alias("zeta"))
 
 
 @case("local_kriging")
 def local_kriging(spark, d):
     """No SQL: a linear system per cell; see the kriging tests."""
-    points = bias.interpolation_points(_zetas(spark, d)).filter("product = 'IMERG'")
-    return kriging.local_kriging(points, _located(spark, d))
+    points = bias.interpolation_points(_zetas(spark, d))
+    return kriging.local_kriging(points, _product_cells(spark, d), groups=["product"])
 
 
 @case("empirical_variogram", f"""
-SELECT CAST(lag AS INTEGER) AS lag, {q6('avg(d)')} AS d_mean, {q6('avg(g)')} AS gamma, count(*) AS n_pairs FROM (
-  SELECT d, g, greatest(least(floor((d - lo) / ((hi - lo) / 12e0)), 11), 0) AS lag FROM (
-    SELECT sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) AS d,
-           0.5e0 * (a.zeta - b.zeta) * (a.zeta - b.zeta) AS g,
-           min(sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)))
-             FILTER (a.lon <> b.lon OR a.lat <> b.lat) OVER () AS lo,
-           max(sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat))) OVER () AS hi
-    FROM v_zeta a JOIN v_zeta b ON a.product = 'IMERG' AND b.product = 'IMERG' AND a.station_id < b.station_id))
-GROUP BY 1""")
+SELECT product, CAST(lag AS INTEGER) AS lag, {q6('avg(d)')} AS d_mean, {q6('avg(g)')} AS gamma, count(*) AS n_pairs FROM (
+  SELECT product, d, g, greatest(least(floor((d - lo) / ((hi - lo) / 12e0)), 11), 0) AS lag FROM (
+    SELECT *, min(d) FILTER (d > 0) OVER (PARTITION BY product) AS lo, max(d) OVER (PARTITION BY product) AS hi FROM (
+      SELECT a.product, sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) AS d,
+             0.5e0 * (a.zeta - b.zeta) * (a.zeta - b.zeta) AS g
+      FROM v_zeta a JOIN v_zeta b ON a.product = b.product AND a.station_id < b.station_id)))
+GROUP BY 1, 2""")
 def empirical_variogram(spark, d):
-    points = bias.interpolation_points(_zetas(spark, d)).filter("product = 'IMERG'")
-    return rounded(kriging.empirical_variogram(points, block=40), "d_mean", "gamma")
+    points = bias.interpolation_points(_zetas(spark, d))
+    lags = kriging.empirical_variogram(points, groups=["product"])
+    return rounded(lags, "d_mean", "gamma")
 
 
 REGRID_SQL = f"""

@@ -154,11 +154,19 @@ def nearest_k(
         .groupBy(*block).agg(F.flatten(F.collect_list("pts")).alias("_near"))
     )
 
-    def ranked(p: Column) -> Column:
+    def ranked(p: Column, i: Column) -> Column:
         dx, dy = F.col(x) - p["_x"], F.col(y) - p["_y"]
-        return F.struct((dx * dx + dy * dy).alias("d2"), *[p[c].alias(c) for c in named])
-
-    best = F.slice(F.array_sort(F.transform("_near", ranked)), 1, k)
+        return F.struct((dx * dx + dy * dy).alias("d2"), *[p[c].alias(c) for c in tie], i.alias("_i"))
+
+    # only distance, tie and place in the list are ordered; the payload is looked up afterwards
+    order = F.transform("_near", ranked)
+    top = F.array(F.array_min(order)) if k == 1 else F.slice(F.array_sort(order), 1, k)
+    best = F.transform(
+        top,
+        lambda m: F.struct(
+            m["d2"].alias("d2"), *[F.get("_near", m["_i"])[c].alias(c) for c in named]
+        ),
+    )
     empty = F.from_json(F.lit("[]"), f"array<struct<{kind}>>")
     # ranking is the costly part: spread the queries over all tasks, those of one block as well
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -167,7 +175,7 @@ def nearest_k(
     return (
         salted.repartition(width, *block, "_salt")
         .join(lists, [*block, "_salt"], "left")
-        .withColumn("neighbours", F.coalesce(best, empty))
+        .withColumn("neighbours", F.when(F.col("_near").isNull(), empty).otherwise(best))
         .drop("_bx", "_by", "_near", "_salt")
     )
 

@@ -140,20 +140,23 @@ def sample_raster(
 
 
 def fill_nearest(
-    cells: DataFrame, valid: str, bands: Sequence[str], keys: Sequence[str] = ()
+    cells: DataFrame, valid: str, bands: Sequence[str], keys: Sequence[str] = (),
+    needed: str | None = None,
 ) -> DataFrame:
     """Cells where the flag column `valid` is not true take all bands of the nearest valid cell.
 
     Nearest by row and column, ties by (row, col). Adds src_row, src_col (NULL for valid cells and
-    where nothing can be borrowed) and src_dist (0 for valid cells). The cells are written once,
-    since the good ones, the bad ones and the search all read them.
+    where nothing can be borrowed) and src_dist (0 for valid cells). With the flag column `needed`
+    only the cells it marks are filled. The cells are written once, since the good ones, the bad
+    ones and the search all read them.
     """
     cells = materialise(cells, "cells")
     ok = F.coalesce(F.col(valid), F.lit(False))
-    good, bad = cells.filter(ok), cells.filter(~ok)
-    kept = good.select(
+    wanted = ~ok if needed is None else ~ok & F.coalesce(F.col(needed), F.lit(False))
+    good, bad = cells.filter(ok), cells.filter(wanted)
+    kept = cells.filter(~wanted).select(
         "*", F.lit(None).cast("int").alias("src_row"), F.lit(None).cast("int").alias("src_col"),
-        F.lit(0.0).alias("src_dist"),
+        F.when(ok, F.lit(0.0)).alias("src_dist"),
     )
     if bad.isEmpty():
         return kept

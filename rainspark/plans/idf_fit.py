@@ -51,9 +51,10 @@ def fill_failed(params: DataFrame) -> DataFrame:
     """
     inside = F.coalesce(F.col("AMD_mean") > 0, F.lit(False))
     fitted = F.col("K").isNotNull() & F.col("R2").isNotNull()
-    flagged = params.withColumn("_ok", inside & fitted)
-    filled = raster.fill_nearest(flagged, "_ok", FITTED, COMBO).drop("_ok")
-    return filled.withColumns({c: F.when(inside, F.col(c)) for c in FITTED})
+    # cells outside the domain end up empty, so they are not worth a search
+    flagged = params.withColumn("_in", inside).withColumn("_ok", inside & fitted)
+    filled = raster.fill_nearest(flagged, "_ok", FITTED, COMBO, needed="_in")
+    return filled.withColumns({c: F.when(F.col("_in"), F.col(c)) for c in FITTED}).drop("_in", "_ok")
 
 
 def parameter_table(

@@ -52,8 +52,8 @@ def wide_to_long(
     first, last = clip_years(df, first, last)
     wanted = {c: d for c, d in date_headers(df).items() if first <= d.year <= last}
     # arrays instead of unpivot: one generated loop, not one projection per day
-    days = F.array(*[F.lit(d) for d in wanted.values()])
-    values = F.array(*[F.col(f"`{c}`").cast("string") for c in wanted])
+    days = F.expr("array(" + ", ".join(f"DATE'{d}'" for d in wanted.values()) + ")")
+    values = F.expr("array(" + ", ".join(f"string(`{c}`)" for c in wanted) + ")")
     return df.select(
         *ids, F.explode(F.arrays_zip(days.alias("date"), values.alias("mm"))).alias("v")
     ).select(*ids, F.col("v.date").alias("date"), coerce_numeric(F.col("v.mm")).alias("pr_g"))

@@ -144,10 +144,10 @@ def test_kriging_is_exact_at_data_and_keeps_constants(spark, field, model):
     pts = spark.createDataFrame(field)
     v = kriging.Variogram(model, 1.0, 1.5 if model == "power" else 4.0, 0.0)
     cells = spark.createDataFrame(field[["lon", "lat"]].iloc[:20].reset_index())
-    got = kriging.local_kriging(pts, cells, variogram=v, limits=None).orderBy("index").toPandas()
+    got = kriging.local_kriging(pts, cells, fitted={(): v}, limits=None).orderBy("index").toPandas()
     np.testing.assert_allclose(got.zeta, field.zeta.iloc[:20], atol=1e-5)
     away = spark.createDataFrame(pd.DataFrame({"lon": [0.2, 5.5, 20.0], "lat": [0.1, 4.4, -3.0]}))
-    flat = kriging.local_kriging(pts.withColumn("zeta", F.lit(1.7)), away, variogram=v).toPandas()
+    flat = kriging.local_kriging(pts.withColumn("zeta", F.lit(1.7)), away, fitted={(): v}).toPandas()
     np.testing.assert_allclose(flat.zeta, 1.7, atol=1e-6)       # weights sum to 1
 
 
@@ -161,3 +161,15 @@ def test_fitted_variogram_and_twins(spark, field):
     cells = spark.createDataFrame(pd.DataFrame({"lon": [5.05], "lat": [4.95]}))
     z = kriging.local_kriging(spark.createDataFrame(twins), cells).toPandas().zeta[0]
     assert z == pytest.approx(1 + 0.505 + 0.3 * np.sin(4.95), abs=0.15)
+
+
+def test_each_group_has_its_own_variogram(spark, field):
+    two = pd.concat([field.assign(product="a"), field.assign(product="b", zeta=5 - field.zeta)])
+    pts = spark.createDataFrame(two)
+    lags = kriging.empirical_variogram(pts, groups=["product"], block=40).toPandas()
+    alone = kriging.empirical_variogram(spark.createDataFrame(field)).toPandas().sort_values("lag")
+    for p in "ab":
+        np.testing.assert_allclose(lags[lags["product"] == p].sort_values("lag").gamma, alone.gamma)
+    cells = spark.createDataFrame(pd.DataFrame({"product": ["a", "b", "c"], "lon": 5.1, "lat": 5.2}))
+    got = kriging.local_kriging(pts, cells, groups=["product"], limits=None).toPandas().set_index("product").zeta
+    assert got["a"] == pytest.approx(5 - got["b"]) and np.isnan(got["c"])
