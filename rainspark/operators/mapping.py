@@ -48,16 +48,19 @@ def ecdf_position(
             F.struct(value, *extra).alias("_q"),
         )
     )
-    upto = W.partitionBy(key).orderBy("_v").rangeBetween(W.unboundedPreceding, W.currentRow)
-    ahead = W.partitionBy(key).orderBy(F.desc("_v"), "_s").rowsBetween(W.unboundedPreceding, -1)
+    # samples come before queries of the same value, so one ascending sort serves everything
+    ordered = W.partitionBy(key).orderBy("_v", F.desc("_s"))
+    upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(key)
-    own = F.when(F.col("_s") == 1, F.col("_v"))
     placed = (
-        merged.withColumn("_below", F.sum("_s").over(upto))
-        .withColumn("_x0", F.max(own).over(upto))
+        merged.withColumn("_own", F.when(F.col("_s") == 1, F.col("_v")))
+        .withColumn("_below", F.sum("_s").over(upto))
+        .withColumn("_x0", F.max("_own").over(upto))
+        .withColumn("_x1", F.expr(
+            f"lead(_own, 1) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY _v, _s DESC)"
+        ))
         .withColumn("_n", F.sum("_s").over(whole))
-        .withColumn("_lo", F.min(own).over(whole)).withColumn("_hi", F.max(own).over(whole))
-        .withColumn("_x1", F.min(F.when(F.col("_s") == 1, F.col("_v"))).over(ahead))
+        .withColumn("_lo", F.min("_own").over(whole)).withColumn("_hi", F.max("_own").over(whole))
         .filter(F.col("_s") == 0)
     )
     frac = F.coalesce(
