@@ -62,17 +62,37 @@ def nearest_stations(spark, d):
     )
 
 
-@case("idw_surface", f"""
-SELECT product, {RC}, {q6('least(greatest(sum(w * zeta) / sum(w), 0.25e0), 10e0)')} AS zeta FROM (
-  SELECT z.product, k.r, k.c, z.zeta, pow(greatest(sqrt((k.lon - z.lon) * (k.lon - z.lon) + (k.lat - z.lat) * (k.lat - z.lat)), 1e-12), -2e0) AS w,
-         row_number() OVER (PARTITION BY z.product, k.r, k.c ORDER BY
-           (k.lon - z.lon) * (k.lon - z.lon) + (k.lat - z.lat) * (k.lat - z.lat), z.station_id) AS rank
-  FROM v_cells k, v_zeta z) WHERE rank <= 8 GROUP BY product, r, c""")
+@case("idw_surface", f"SELECT product, {RC}, {q6('zeta')} AS zeta FROM v_surface")
 def idw_surface(spark, d):
     surface = bias_correction.zeta_surface(_zetas(spark, d), _product_cells(spark, d))
     return surface.filter("zeta IS NOT NULL").select("product", "row", "col", r6("zeta").alias("zeta"))
 
 
+@case("bias_corrected_maxima", f"""
+SELECT a.product, a.r AS "row", a.c AS col, a.y AS year,
+       CASE WHEN zeta IS NOT NULL THEN {q6('least(mm * least(greatest(zeta, 0.25e0), 5e0), 500e0)')} END AS mm
+FROM v_amax a LEFT JOIN v_surface z USING (product, r, c)""")
+def bias_corrected_maxima(spark, d):
+    """The whole chain: gauges and products to pairs, factors, surface and corrected maxima."""
+    surface = bias_correction.zeta_surface(_zetas(spark, d), _product_cells(spark, d))
+    maxima = bias_correction.corrected_maxima(t.fine_amax(spark, d), surface, t.FINE, t.FINE)
+    return rounded(maxima.select("product", "row", "col", "year", "mm"), "mm")
+
+
+@case("boundary_grid", f"""
+SELECT CAST(i AS INTEGER) AS iy, CAST(j AS INTEGER) AS ix, miny - 0.25e0 + i * 0.5e0 AS lat, minx - 0.25e0 + j * 0.5e0 AS lon
+FROM (SELECT min(x1) AS minx, max(x2) AS maxx, min(y1) AS miny, max(y2) AS maxy FROM v_areas),
+     range(200) u(i), range(200) v(j)
+WHERE i < ceil((maxy + 0.25e0 + 0.5e0 - (miny - 0.25e0)) / 0.5e0) AND j < ceil((maxx + 0.25e0 + 0.5e0 - (minx - 0.25e0)) / 0.5e0)
+  AND EXISTS (SELECT 1 FROM v_areas s WHERE minx - 0.25e0 + j * 0.5e0 >= s.x1 AND minx - 0.25e0 + j * 0.5e0 < s.x2
+              AND miny - 0.25e0 + i * 0.5e0 >= s.y1 AND miny - 0.25e0 + i * 0.5e0 < s.y2)""")
+def boundary_grid(spark, d):
+    """Nodes around the boundary's envelope, kept where they fall inside it."""
+    boundary = t.areas(spark, d)
+    nodes = raster.build_grid(raster.polygon_bounds(boundary), 0.5, 0.25)
+    return polygons.clip_to(nodes, boundary, tile=2.0)
+
+
 @case("local_kriging")
 def local_kriging(spark, d):
     """No SQL: a linear system per cell; see the kriging tests."""

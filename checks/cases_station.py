@@ -81,8 +81,7 @@ GROUP BY s.code, s.name, s.s_suppkey HAVING count(*) >= CAST(floor(1.3 * 365) AS
 ORDER BY s.s_suppkey LIMIT 1""")
 def region_first_covered_station(spark, d):
     st = t.stations(spark, d).withColumnRenamed("state", "State")
-    first_state = st.agg(F.min("State"))
-    local = st.filter(F.col("State") == first_state.scalar())
+    local = inventory.select_region(st, state=st.agg(F.min("State")).first()[0])
     return calendar.first_with_coverage(
         local, t.gauge_daily(spark, d), "1995-02-01", "2001-11-30", 1.3, ["s_suppkey"]
     ).select("code", "name", "n_days")

@@ -332,3 +332,11 @@ SELECT x.product, x.bias, x.disagg, x.r, x.c, g.k, g.a, g.b, g.cc, g.r2, g.rmse,
 FROM v_params x LEFT JOIN v_borrow w USING (product, bias, disagg, r, c)
 LEFT JOIN v_good g ON g.product = w.product AND g.bias = w.bias AND g.disagg = w.disagg AND g.r = w.sr AND g.c = w.sc
 WHERE NOT coalesce(x.k IS NOT NULL AND x.r2 IS NOT NULL AND x.m > 0, false)"""
+
+VIEWS["v_surface"] = """
+SELECT product, r, c, least(greatest(sum(w * zeta) / sum(w), 0.25e0), 10e0) AS zeta FROM (
+  SELECT z.product, k.r, k.c, z.zeta,
+         pow(greatest(sqrt((k.lon - z.lon) * (k.lon - z.lon) + (k.lat - z.lat) * (k.lat - z.lat)), 1e-12), -2e0) AS w,
+         row_number() OVER (PARTITION BY z.product, k.r, k.c ORDER BY
+           (k.lon - z.lon) * (k.lon - z.lon) + (k.lat - z.lat) * (k.lat - z.lat), z.station_id) AS rank
+  FROM v_cells k, v_zeta z) WHERE rank <= 8 GROUP BY product, r, c"""

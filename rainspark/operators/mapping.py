@@ -77,22 +77,35 @@ def ecdf_position(
     )
 
 
+def placed_annual_max(daily: DataFrame) -> DataFrame:
+    """`paired_annual_max` with u, the position of prod_ams in the station's product record.
+
+    An annual maximum is itself one of the record's values and u grows with the value, so u is
+    taken for every day in one ordered window per station and the largest of a year is kept. The
+    yearly groups stay on the partitions of the window.
+    """
+    whole = W.partitionBy("code")
+    upto = whole.orderBy("pr_p").rangeBetween(W.unboundedPreceding, W.currentRow)
+    n, x = F.count("pr_p").over(whole), F.col("pr_p")
+    inner = (F.count("pr_p").over(upto) - 1) / F.nullif(n - 1, F.lit(0))
+    u = F.when(x <= F.min("pr_p").over(whole), 0.0).when(x >= F.max("pr_p").over(whole), 1.0)
+    return (
+        daily.withColumn("_u", u.when(x.isNotNull(), inner))
+        .groupBy("code", F.year("date").alias("year"))
+        .agg(F.max("pr_p").alias("prod_ams"), F.max("pr_g").alias("gauge_ams"), F.max("_u").alias("u"))
+    )
+
+
 def tail_mapping(daily: DataFrame, models: DataFrame) -> DataFrame:
     """(code, year, prod_ams, prod_ams_qm, gauge_ams).
 
     An annual maximum whose position in the station's product record is below q0 stays; above it
     the monotone cubic of the model maps it. Stations without a model get NULL.
     """
-    ams = paired_annual_max(daily)
-    queries = ams.filter(F.col("prod_ams").isNotNull()).withColumnRenamed("prod_ams", "v")
-    sample = daily.select("code", F.col("pr_p").alias("v"))
-    placed = ecdf_position(sample, queries).withColumnRenamed("v", "prod_ams").unionByName(
-        ams.filter(F.col("prod_ams").isNull()).withColumn("u", F.lit(None).cast("double"))
-    )
     x = F.col("prod_ams")
     mapped = hermite_with_linear_tails(x, F.col("p_q"), F.col("g_q"), F.col("slope"))
     corrected = F.when(x.isNull() | F.col("q0").isNull(), None).when(F.col("u") < F.col("q0"), x).otherwise(mapped)
-    return placed.join(models, "code", "left").select(
+    return placed_annual_max(daily).join(models, "code", "left").select(
         "code", "year", "prod_ams", corrected.alias("prod_ams_qm"), "gauge_ams"
     )
 

@@ -129,6 +129,20 @@ def test_ecdf_position_against_a_loop(spark):
         assert r.u is None if r.code == "c" else r.u == pytest.approx(ecdf(sample[r.code], r.v))
 
 
+def test_annual_maxima_are_placed_as_any_value(spark):
+    rng = np.random.default_rng(3)
+    days = pd.DataFrame({"code": rng.choice(["a", "b"], 900), "date": rng.choice(pd.date_range("2000-01-01", "2006-12-31"), 900), "pr_p": np.round(rng.uniform(0, 30, 900)), "pr_g": 1.0})
+    days.loc[len(days)] = ["c", pd.Timestamp("2001-05-05"), np.nan, 2.0]
+    df = spark.createDataFrame(days).withColumn("date", F.to_date("date")).withColumn("pr_p", F.nanvl("pr_p", F.lit(None)))
+    rows = mapping.placed_annual_max(df).collect()
+    assert len(rows) == 15
+    for r in rows:
+        if r.code == "c":
+            assert (r.prod_ams, r.u, r.gauge_ams) == (None, None, 2.0)
+        else:
+            assert r.u == pytest.approx(ecdf(days[days.code == r.code].pr_p.to_numpy(), r.prod_ams))
+
+
 def test_flow_duration_ranks(spark):
     df = spark.createDataFrame([("s", f"2000-01-0{i}", q) for i, q in enumerate((5.0, 9.0, 5.0, None), 1)], "code string, date string, q double")
     got = [(r.date[-1], r.rank, r.exceedance) for r in mapping.flow_duration(df).orderBy("rank").collect()]

@@ -114,3 +114,27 @@ def test_golden_series(spark):
     assert got == [
         (1995, 115.0, dt.date(1995, 1, 8)), (1996, 58.2, dt.date(1996, 2, 9)), (1997, 71.8, dt.date(1997, 3, 6)),
     ]
+
+
+def test_text_outputs(spark):
+    from rainspark.functions import text
+    from rainspark.sources import sinks
+
+    df = spark.createDataFrame([(1.5, "BR-DWGD (Xavier) x"), (2.0, "a"), (None, None), (100.0, "b")], "v double, s string")
+    assert [r[0] for r in df.select(text.trim_number(F.col("v"))).collect()] == ["1.5", "2", "", "100"]
+    assert df.select(text.safe_name(F.col("s"))).first()[0] == "BR_DWGD_Xavier_x"
+    day = spark.createDataFrame([("a", dt.date(2000, 1, 9), 3.0)], "code string, date date, pr_g double")
+    assert day.select(text.us_date_label(F.col("date"))).first()[0] == "1/9/2000"
+    assert sinks.daily_table(day).first().Rain_mm_day == "3.00"
+
+
+def test_bands_by_name_or_position(spark):
+    from rainspark.grid import PARAMETER_BANDS
+
+    named = spark.createDataFrame([(7, *[float(i) for i in range(13)])], "cell int, " + ", ".join(f"{b} double" for b in reversed(PARAMETER_BANDS)))
+    assert rasters.parameter_stack(named, ["cell"]).first().K == 12.0
+    plain = named.toDF("cell", *[f"b{i}" for i in range(13)])
+    stack = rasters.parameter_stack(plain, ["cell"]).first()
+    assert (stack.K, stack.Nyears) == (0.0, 12.0)
+    with pytest.raises(ValueError, match="Nyears"):
+        rasters.band(plain.drop("b12"), "Nyears", keys=1)
