@@ -4,8 +4,9 @@ Points are counted in square tiles, each level splitting a tile in 4 x 4. A tile
 `LEAF` points has children, so a dense place is split deeper and no tile stays hot. Query places
 are taken together in blocks. A block walks down the tree: at every level the k-th smallest
 "farthest corner" distance of its tiles bounds the k-th neighbour, and tiles that begin beyond the
-bound are dropped. What is left is a short list of small tiles per block, whose points are ranked
-for every query row. No pair of query and point is ever shuffled, and the result is exact.
+bound are dropped. A block that still looks at many points is split along with its tiles, so that crowds of
+queries at crowds of points end in small blocks. What is left is a short list of small tiles per
+block, whose points are ranked for every query row. No pair of query and point is ever shuffled, and the result is exact.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from rainspark.session import materialise
 
 LEAF = 32          # points a tile may hold before it is split
 MAX_LEVEL = 10     # 4^10 tiles per axis
+FEW = 256          # candidates a block may keep without being split further
 SALTS = 8          # shares of a block's queries
 SLACK = 1 + 1e-9   # keeps rounding from dropping a tile that touches the bound
 
@@ -109,49 +111,55 @@ def nearest_k(
     x0, y0 = frame[0], frame[2]
     side = max(frame[1] - x0, frame[3] - y0) or 1.0
 
-    even = _even_level(frame[4] / max(frame[5], 1))
-    nodes, depth = _tile_tree(pts, g, even, x0, y0, side)
+    nodes, depth = _tile_tree(pts, g, _even_level(frame[4] / max(frame[5], 1)), x0, y0, side)
     leaves = _leaves(pts, nodes, g, depth, x0, y0, side, named)
 
-    # blocks as fine as the tiles of an even spread would be
-    step = side / 4 ** even
-    located = queries.withColumn("_bx", F.floor((F.col(x) - x0) / step)).withColumn(
-        "_by", F.floor((F.col(y) - y0) / step)
+    # query blocks are tiles of the same tree; a block is split with the tiles it looks at until
+    # few enough candidates are left
+    places = queries.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *g, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
-    block = [*g, "_bx", "_by"]
-    live = (
-        located.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(*block)
-        .agg(
-            F.min(x).cast("double").alias("bx1"), F.max(x).cast("double").alias("bx2"),
-            F.min(y).cast("double").alias("by1"), F.max(y).cast("double").alias("by2"),
-        )
-        .withColumn(
-            "tiles",
-            F.array(F.struct(*[F.lit(0) for _ in range(8)]).cast(TILE)),
-        )
+    blocks = materialise(_coarser(_counted(places, g, depth, x0, y0, side), g, 0, depth), "blocks")
+    rect = {"bx1": "x1", "bx2": "x2", "by1": "y1", "by2": "y2"}
+    block = [*g, "_bl", "_bx", "_by"]
+    root = F.array(F.struct(*[F.lit(0) for _ in range(8)]).cast(TILE))
+    live = blocks.filter(F.col("level") == 0).select(
+        *g, F.lit(0).alias("_bl"), F.col("tx").alias("_bx"), F.col("ty").alias("_by"),
+        *[F.col(c).alias(r) for r, c in rect.items()], root.alias("tiles"), F.lit(False).alias("_done"),
     )
-    rect = ["bx1", "bx2", "by1", "by2"]
     for level in range(depth):
         stage = nodes.filter(F.col("level") == level).select(
             *g, F.lit(level).alias("_l"), F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), "children"
         )
-        opened = live.select(*block, *rect, F.explode("tiles").alias("t")).select(
-            *block, *rect, "t", F.col("t.level").alias("_l"), F.col("t.tx").alias("_tx"),
-            F.col("t.ty").alias("_ty"),
-        )
-        live = (
-            opened.join(stage, [*g, "_l", "_tx", "_ty"], "left")
+        opened = (
+            live.select(*block, *rect, "_done", F.explode("tiles").alias("t"))
+            .withColumn("_l", F.col("t.level")).withColumn("_tx", F.col("t.tx")).withColumn("_ty", F.col("t.ty"))
+            .join(stage, [*g, "_l", "_tx", "_ty"], "left")
             .withColumn("t", F.coalesce("children", F.array("t")))
-            .groupBy(*block, *rect)
-            .agg(F.flatten(F.collect_list("t")).alias("tiles"))
-            .withColumn("tiles", _prune(F.col("tiles"), k))
+            .groupBy(*block, *rect, "_done").agg(F.flatten(F.collect_list("t")).alias("tiles"))
         )
+        parts = blocks.filter(F.col("level") == level + 1).select(
+            *g, F.lit(level).alias("_pl"), F.floor(F.col("tx") / 4).alias("_px"),
+            F.floor(F.col("ty") / 4).alias("_py"), F.col("tx").alias("_cx"), F.col("ty").alias("_cy"),
+            *[F.col(c).alias(f"_{c}") for c in rect.values()],
+        )
+        # finished blocks meet no part and stay as they are; their tiles go on being opened
+        split = opened.withColumn("_pl", F.when(F.col("_done"), -1).otherwise(F.lit(level))).withColumn(
+            "_px", F.col("_bx")
+        ).withColumn("_py", F.col("_by")).join(parts, [*g, "_pl", "_px", "_py"], "left")
+        live = split.select(
+            *g, F.when(F.col("_cx").isNotNull(), level + 1).otherwise(F.col("_bl")).alias("_bl"),
+            F.coalesce("_cx", "_bx").alias("_bx"), F.coalesce("_cy", "_by").alias("_by"),
+            *[F.coalesce(f"_{c}", r).alias(r) for r, c in rect.items()], "tiles", "_done",
+        ).withColumn("tiles", _prune(F.col("tiles"), k))
+        total = F.aggregate("tiles", F.lit(0).cast("long"), lambda n, t: n + t["n"])
+        live = live.withColumn("_done", F.col("_done") | (total <= max(FEW, 4 * k)))
     near = (
         live.select(*block, F.explode("tiles").alias("t"))
         .select(*block, F.col("t.level").alias("_l"), F.col("t.tx").alias("_tx"), F.col("t.ty").alias("_ty"))
-        .join(leaves, [*g, "_l", "_tx", "_ty"])
+        .join(leaves, [*g, "_l", "_tx", "_ty"], "left")
         .groupBy(*block).agg(F.flatten(F.collect_list("pts")).alias("_near"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
 
     def ranked(p: Column, i: Column) -> Column:
@@ -170,14 +178,23 @@ def nearest_k(
     empty = F.from_json(F.lit("[]"), f"array<struct<{kind}>>")
     # ranking is the costly part: spread the queries over all tasks, those of one block as well
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = located.withColumn("_salt", F.pmod(F.xxhash64(*queries.columns), F.lit(SALTS)).cast("int"))
-    lists = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (
-        salted.repartition(width, *block, "_salt")
-        .join(lists, [*block, "_salt"], "left")
-        .withColumn("neighbours", F.when(F.col("_near").isNull(), empty).otherwise(best))
-        .drop("_bx", "_by", "_near", "_salt")
+    ways = F.array(*[
+        F.struct(
+            F.lit(v).alias("l"), _tile(F.col(x), x0, side, v).alias("x"), _tile(F.col(y), y0, side, v).alias("y")
+        )
+        for v in range(depth + 1)
+    ])
+    asked = (
+        queries.repartition(width)
+        .withColumn("_salt", F.pmod(F.xxhash64(*queries.columns), F.lit(SALTS)).cast("int"))
+        .withColumn("_located", F.col(x).isNotNull() & F.col(y).isNotNull())
+        .withColumn("_w", F.explode(F.when(F.col("_located"), ways).otherwise(F.slice(ways, 1, 1))))
+        .withColumn("_bl", F.when(F.col("_located"), F.col("_w.l"))).withColumn("_bx", F.col("_w.x")).withColumn("_by", F.col("_w.y"))
     )
+    # a located query lies in exactly one finished block, at one of its levels
+    matched = asked.join(near, [*block, "_salt"], "left").filter(F.col("_near").isNotNull() | ~F.col("_located"))
+    some = F.size("_near") > 0
+    return matched.select(*queries.columns, F.when(some, best).otherwise(empty).alias("neighbours"))
 
 
 def _even_level(count: float) -> int:
