@@ -21,7 +21,7 @@ from rainspark.session import materialise
 
 LEAF = 32          # points a tile may hold before it is split
 MAX_LEVEL = 10     # 4^10 tiles per axis
-FEW = 256          # candidates a block may keep without being split further
+FEW = 96           # candidates a block may keep without being split further
 SALTS = 8          # shares of a block's queries
 SLACK = 1 + 1e-9   # keeps rounding from dropping a tile that touches the bound
 
