@@ -8,9 +8,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rainspark.llm import bpe, secret_ledger, token_counts
+from rainspark.llm import bpe, html_text, jaccard_join, language, quality, secret_ledger, substring_dedup, token_counts
 from rainspark.llm.tables import read
-from rainspark.session import shared_folder
+from rainspark.session import materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/rainspark/{name}-{uuid.uuid4().hex}"
 
 
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.kept_words(read(spark, sf_dir, "documents")))
+
+
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialise(quality.rule_statistics(read(spark, sf_dir, "documents")), "statistics")
+    model = quality.fit(stats, read(spark, sf_dir, "labels"))
+    return quality.judge(stats, model).select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -59,6 +76,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    model = language.learn(docs.where(~held_out & F.col("doc_id").isNotNull()).select("text", "lang"), pieces)
+    found = language.predict(docs, model, pieces)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,3 +96,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decimals", 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_html_text")
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))

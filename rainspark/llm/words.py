@@ -19,11 +19,11 @@ SPACES[[32, *range(9, 14)]] = True
 SLICE_BYTES = 1 << 21
 
 _random = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_CODE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER_CODE = _BYTE_CODE.copy()
-_LOWER_CODE[65:91] = _BYTE_CODE[97:123]
-_BASE = 0xD1342543DE82EF95
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+BYTE_CODE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LOWER_CODE = BYTE_CODE.copy()
+LOWER_CODE[65:91] = BYTE_CODE[97:123]
+BASE = 0xD1342543DE82EF95
+BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,7 +66,7 @@ class Words:
             return np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool)
         acc = np.zeros(n - k + 1, dtype=np.uint64)
         for j in range(k):
-            acc = acc * np.uint64(_BASE) + self.hashes[j : n - k + 1 + j]
+            acc = acc * np.uint64(BASE) + self.hashes[j : n - k + 1 + j]
         inside = np.zeros(n, dtype=bool)
         last = np.repeat(self.bounds[1:], self.counts())
         inside[: n - k + 1] = np.arange(n - k + 1) + k <= last[: n - k + 1]
@@ -91,9 +91,9 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     after[:-1] = ~inside[1:]
     ends = np.flatnonzero(inside & (after | cut[1:])) + 1
     prefix = np.zeros(n + 1, dtype=np.uint64)
-    codes = (_LOWER_CODE if lower else _BYTE_CODE)[data]
-    np.cumsum(codes * powers(_BASE, n), out=prefix[1:])
-    hashes = (prefix[ends] - prefix[starts]) * powers(_BASE_INVERSE, n)[starts] if n else np.zeros(0, np.uint64)
+    codes = (LOWER_CODE if lower else BYTE_CODE)[data]
+    np.cumsum(codes * powers(BASE, n), out=prefix[1:])
+    hashes = (prefix[ends] - prefix[starts]) * powers(BASE_INVERSE, n)[starts] if n else np.zeros(0, np.uint64)
     hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets), data)
 
