@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rainspark.llm import bpe, html_text, jaccard_join, language, quality, secret_ledger, substring_dedup, token_counts
+from rainspark.llm import bpe, decontamination, html_text, jaccard_join, language, line_dedup, quality, secret_ledger, substring_dedup, token_counts
 from rainspark.llm.tables import read
 from rainspark.session import materialise, shared_folder
 
@@ -32,6 +32,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/rainspark/{name}-{uuid.uuid4().hex}"
 
 
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.kept_words(read(spark, sf_dir, "documents")))
@@ -49,6 +54,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(stats, model).select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
 
 
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")

@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, *range(9, 14)]] = True
+#: Also between the words of texts that are compared without their punctuation: all of ASCII's.
+PUNCTUATION = SPACES.copy()
+PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 SLICE_BYTES = 1 << 21
 
 _random = np.random.Generator(np.random.PCG64(20240229))
@@ -73,15 +76,15 @@ class Words:
         return np.concatenate([mix(acc ^ np.uint64(k)), np.zeros(k - 1, dtype=np.uint64)]), inside
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of an Arrow array of strings; a null has none. lower: A-Z count as a-z."""
+def words_of(texts: pa.Array, lower: bool = False, spaces: np.ndarray = SPACES) -> Words:
+    """Words of an Arrow array of strings; a null has none. lower: A-Z count as a-z; spaces: bytes between words."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(texts) else np.zeros(0, np.uint8)
     offsets = offsets - (offsets[0] if len(offsets) else 0)
     n = len(data)
-    inside = ~SPACES[data]
+    inside = ~spaces[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
     before = np.ones(n, dtype=bool)
