@@ -63,8 +63,9 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     ]
     parts = (
         blobs.select("blob", F.explode(F.array(*lists)).alias("rule"))
-        .where(F.size("rule.parts") > 0)
-        .select("blob", "rule.kind_no", F.posexplode("rule.parts").alias("n", "part"))
+        .select("blob", "rule.kind_no", "rule.parts")
+        .where(F.size("parts") > 0)
+        .select("blob", "kind_no", F.posexplode("parts").alias("n", "part"))
     )
     match, value = F.lit(None).cast("string"), F.lit(None).cast("string")
     least = F.lit(None).cast("int")
