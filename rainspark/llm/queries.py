@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rainspark.llm import bpe, decontamination, html_text, jaccard_join, language, line_dedup, quality, secret_ledger, substring_dedup, token_counts
+from rainspark.llm import bpe, decontamination, html_text, jaccard_join, language, line_dedup, quality, secret_ledger, sql, substring_dedup, token_counts
 from rainspark.llm.tables import read
 from rainspark.session import materialise, shared_folder
 
@@ -37,12 +37,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-@query("op2_substring_dedup")
+@query("op2_substring_dedup", sql.SUBSTRINGS)
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.kept_words(read(spark, sf_dir, "documents")))
 
 
-@query("op3_jaccard_join")
+@query("op3_jaccard_join", sql.JACCARD)
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(read(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -65,7 +65,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, new_folder(spark, "counts"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-@query("op7_secret_scan")
+@query("op7_secret_scan", sql.SECRETS)
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = secret_ledger.Ledger(spark, new_folder(spark, "ledger"))
     found = secret_ledger.secret_findings(read(spark, sf_dir, "documents"), ledger)
