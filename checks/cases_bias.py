@@ -38,6 +38,17 @@ def _pairs_with_zeta(spark, d):
     return bias.with_zeta(pairs, bias.zeta(pairs))
 
 
+@case("zeta_with_repeated_stations", f"SELECT product, station_id, {q6('zeta')} AS zeta, n_pairs, lat, lon FROM v_zeta")
+def zeta_with_repeated_stations(spark, d):
+    """Every station is listed again, later and farther south and west: the first listing counts."""
+    st = t.stations(spark, d).withColumn("ordinal", F.col("s_suppkey"))
+    again = st.withColumns({"lat": F.col("lat") - 12.0, "lon": F.col("lon") - 3.0, "ordinal": F.col("ordinal") + 1_000_000_000})
+    zetas = bias_correction.station_zetas(
+        t.gauge_daily(spark, d), again.unionByName(st), t.product_daily(spark, d), t.COARSE, order=["ordinal"]
+    )
+    return zetas.select("product", "station_id", r6("zeta").alias("zeta"), "n_pairs", "lat", "lon")
+
+
 @case("exceedances", f"SELECT code, y AS year, date, pr_g, {q6('thr')} AS threshold FROM v_exceed")
 def exceedances(spark, d):
     return rounded(extremes.exceedances(t.gauge_daily(spark, d)), "threshold")
@@ -66,8 +77,7 @@ def event_pairs(spark, d):
 SELECT k.code, k.date, p.product, coalesce(x.pr_p, 0e0) AS pr_p
 FROM v_kept k JOIN v_stations s ON s.code = k.code CROSS JOIN (SELECT DISTINCT product FROM v_products) p
 LEFT JOIN v_products x ON x.product = p.product AND x.date = k.date
-  AND x.r = floor((5e0 - s.lat) / 9.5e0) AND x.c = floor((s.lon + 73e0) / 9.5e0)
-WHERE s.lat > -33e0""")
+  AND x.r = floor((5e0 - s.lat) / 9.5e0) AND x.c = floor((s.lon + 73e0) / 9.5e0)""")
 def product_at_events(spark, d):
     cells = extremes.station_cells(t.stations(spark, d), t.COARSE)
     events = extremes.extremes(t.gauge_daily(spark, d)).join(cells.select("code", "row", "col"), "code")

@@ -100,6 +100,47 @@ def local_kriging(spark, d):
     return kriging.local_kriging(points, _product_cells(spark, d), groups=["product"])
 
 
+def _ranked_zetas(k):
+    """The k nearest points of each product and cell, as columns."""
+    cols = ", ".join(
+        f"max({c}) FILTER (rank = {i}) AS {c}{i}" for i in range(1, k + 1) for c in ("zeta", "d", "lon", "lat")
+    )
+    return f"""
+SELECT product, r, c, {cols}, avg(zeta) FILTER (rank <= {k}) AS mean, min(d) AS nearest FROM (
+  SELECT z.product, k.r, k.c, z.zeta, z.lon, z.lat,
+         sqrt((k.lon - z.lon) * (k.lon - z.lon) + (k.lat - z.lat) * (k.lat - z.lat)) AS d,
+         row_number() OVER (PARTITION BY z.product, k.r, k.c ORDER BY
+           (k.lon - z.lon) * (k.lon - z.lon) + (k.lat - z.lat) * (k.lat - z.lat), z.station_id) AS rank
+  FROM v_cells k, v_zeta z WHERE z.zeta BETWEEN 0.05 AND 10) GROUP BY product, r, c"""
+
+
+def _gamma(x):
+    """Spherical model with sill 2, range 15 and nugget 0.1."""
+    return f"(CASE WHEN {x} <= 0 THEN 0e0 WHEN {x} >= 15 THEN 2.1e0 ELSE 0.1e0 + 2e0 * (1.5e0 * {x} / 15e0 - 0.5e0 * pow({x} / 15e0, 3)) END)"
+
+
+@case("kriging_two_points", f"""
+SELECT product, {RC}, {q6('w * zeta1 + (1 - w) * zeta2')} AS zeta FROM (
+  SELECT *, ({_gamma('d12')} + {_gamma('d2')} - {_gamma('d1')}) / (2e0 * {_gamma('d12')}) AS w FROM (
+    SELECT *, sqrt((lon1 - lon2) * (lon1 - lon2) + (lat1 - lat2) * (lat1 - lat2)) AS d12 FROM ({_ranked_zetas(2)})))""")
+def kriging_two_points(spark, d):
+    """With two neighbours the system has a closed form."""
+    points = bias.interpolation_points(_zetas(spark, d))
+    model = kriging.Variogram("spherical", 2.0, 15.0, 0.1)
+    fitted = {(p,): model for p, _ in t.FACTORS}
+    z = kriging.local_kriging(points, _product_cells(spark, d), 2, groups=["product"], fitted=fitted)
+    return z.filter("zeta IS NOT NULL").select("product", "row", "col", r6("zeta").alias("zeta"))
+
+
+@case("kriging_pure_nugget", f"SELECT product, {RC}, {q6('mean')} AS zeta FROM ({_ranked_zetas(5)})")
+def kriging_pure_nugget(spark, d):
+    """Without spatial structure all neighbours weigh the same."""
+    points = bias.interpolation_points(_zetas(spark, d))
+    fitted = {(p,): kriging.Variogram("spherical", 0.0, 1.0, 1.0) for p, _ in t.FACTORS}
+    z = kriging.local_kriging(points, _product_cells(spark, d), 5, groups=["product"], fitted=fitted)
+    return z.filter("zeta IS NOT NULL").select("product", "row", "col", r6("zeta").alias("zeta"))
+
+
 @case("empirical_variogram", f"""
 SELECT product, CAST(lag AS INTEGER) AS lag, {q6('avg(d)')} AS d_mean, {q6('avg(g)')} AS gamma, count(*) AS n_pairs FROM (
   SELECT product, d, g, greatest(least(floor((d - lo) / ((hi - lo) / 12e0)), 11), 0) AS lag FROM (
@@ -296,10 +337,11 @@ def ratio_repair(spark, d):
 
 @case("ratio_repair_summary", f"""
 SELECT count(*) AS n_cells, {q6('avg(CASE WHEN violations > 0 THEN 1e0 ELSE 0e0 END)')} AS repaired_share,
-       CAST(sum(violations) AS BIGINT) AS lifts, {q6('sum(magnitude)', 4)} AS lift_sum FROM v_verdict""")
+       CAST(sum(violations) AS BIGINT) AS lifts, {q6('sum(magnitude)', 4)} AS lift_sum,
+       {q6('coalesce((SELECT median(lift) FROM v_repaired WHERE lifted), 0e0)')} AS lift_median FROM v_verdict""")
 def ratio_repair_summary(spark, d):
     s = disaggregation.repair_summary(disaggregation.ratio_vectors(t.ratio_cells(spark, d)))
-    return rounded(rounded(s, "repaired_share"), "lift_sum", digits=4)
+    return rounded(rounded(s, "repaired_share", "lift_median"), "lift_sum", digits=4)
 
 
 @case("raster_disaggregation", f"""

@@ -12,10 +12,10 @@ from checks.registry import case, r6, rounded
 from checks.sql_views import PRODUCTS_SQL, STATES_SQL, r6 as q6
 from rainspark.functions import text
 from rainspark.operators import calendar, extremes
-from rainspark.session import shared_folder
+from rainspark.session import materialise, shared_folder
 from rainspark.sources import daily, inventory, products, rasters, sinks
 
-FIRST, LAST = 1995, 2001
+FIRST, LAST = 1995, 2001  # years of the given tables, as columns of the SQL
 
 CLEAN_SQL = """
 SELECT Code8, Responsible, Type, NYD, lat AS Latitude, lon AS Longitude FROM (
@@ -124,15 +124,17 @@ def annual_max_grid(spark, d):
 ) + " FROM v_stations s JOIN v_gauge g USING (code) GROUP BY s.code, s.name")
 def wide_annual(spark, d):
     annual = calendar.annual_max(t.gauge_daily(spark, d))
-    return calendar.export_wide_annual(annual, t.stations(spark, d).select("code", "name"), FIRST, LAST)
+    first, last = annual.agg(F.min("year"), F.max("year")).first()
+    return calendar.export_wide_annual(annual, t.stations(spark, d).select("code", "name"), first, last)
 
 
 @case("wide_daily_roundtrip", "SELECT code, date, pr_g FROM v_gauge")
 def wide_daily_roundtrip(spark, d):
     """Every year out as one wide table and back to long rows."""
-    gauge, codes = t.gauge_daily(spark, d), t.stations(spark, d).select("code")
+    gauge, codes = materialise(t.gauge_daily(spark, d), "gauge"), t.stations(spark, d).select("code")
+    first, last = gauge.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
     back = None
-    for y in range(FIRST, LAST + 1):
+    for y in range(first, last + 1):
         wide = daily.export_wide_daily(gauge, codes, dt.date(y, 1, 1), dt.date(y, 12, 31))
         part = daily.wide_to_long(wide, ["code"], y, y).filter("pr_g IS NOT NULL")
         back = part if back is None else back.unionByName(part)

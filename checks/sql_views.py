@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from checks.tables import FACTORS, STATE_NAMES
 from rainspark.grid import CETESB_FACTORS, DURATIONS_MIN, RETURN_PERIODS
-from rainspark.operators.sherman import COARSE, FINE, REFINE
+from rainspark.operators.sherman import COARSE, FINE, passes
 
+REFINE = passes()
 PRODUCTS_SQL = "(VALUES " + ", ".join(f"('{p}', {f}e0)" for p, f in FACTORS) + ") p(product, f)"
 STATES_SQL = "[" + ", ".join(f"'{s}'" for s in STATE_NAMES) + "]"
 DUR_SQL = "(VALUES " + ", ".join(
@@ -23,7 +24,7 @@ VIEWS: dict[str, str] = {}
 
 VIEWS["v_stations"] = """
 SELECT lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS code, s_suppkey, s_name AS name, n_name AS state,
-       -33e0 + 38e0 * CAST((s_suppkey * 37) % 101 AS DOUBLE) / 101e0 AS lat,
+       -33e0 + 38e0 * (CAST((s_suppkey * 37) % 101 AS DOUBLE) + 0.5e0) / 101e0 AS lat,
        -73e0 + 38e0 * CAST((s_suppkey * 53) % 97 AS DOUBLE) / 97e0 AS lon
 FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 
@@ -140,7 +141,7 @@ VIEWS["v_pairs"] = """
 SELECT p.product, k.code AS station_id, s.lat, s.lon, k.date, p.pr_p, k.pr_g, k.pr_g / p.pr_p AS ratio
 FROM v_kept k JOIN v_stations s ON s.code = k.code
 JOIN v_products p ON p.date = k.date AND p.r = floor((5e0 - s.lat) / 9.5e0) AND p.c = floor((s.lon + 73e0) / 9.5e0)
-WHERE s.lat > -33e0 AND p.pr_p > 1 AND k.pr_g > 1"""
+WHERE p.pr_p > 1 AND k.pr_g > 1"""
 
 VIEWS["v_zeta"] = """
 SELECT product, station_id, avg(ratio) AS zeta, median(ratio) AS zeta_median,

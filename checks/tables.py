@@ -43,7 +43,7 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             code_of("s_suppkey").alias("code"), "s_suppkey", F.col("s_name").alias("name"),
             F.col("n_name").alias("state"),
-            (F.lit(-33.0) + F.lit(38.0) * ((k * 37) % 101) / F.lit(101.0)).alias("lat"),
+            (F.lit(-33.0) + F.lit(38.0) * ((k * 37) % 101 + 0.5) / F.lit(101.0)).alias("lat"),
             (F.lit(-73.0) + F.lit(38.0) * ((k * 53) % 97) / F.lit(97.0)).alias("lon"),
         )
     )

@@ -33,22 +33,18 @@ def decluster(events: Column, gap_days: int) -> Column:
 
     # element_at(-1) on the empty array would raise in ANSI mode, so seed with the first event
     return F.when(F.size(events) == 0, empty).otherwise(
-        F.aggregate(F.slice(events, 2, 100000), F.slice(events, 1, 1), step)
+        F.aggregate(F.slice(events, F.lit(2), F.size(events)), F.slice(events, 1, 1), step)
     )
 
 
 def ks_p_value(d: Column, n: Column, terms: int = 100) -> Column:
-    """Asymptotic Kolmogorov p-value with the small-sample argument, clamped to [0, 1].
-
-    Terms of the series beyond 4.5 / lambda are below e^-40 and are left out.
-    """
+    """Asymptotic Kolmogorov p-value with the small-sample argument, clamped to [0, 1]."""
     en = F.sqrt(n.cast("double"))
     lam = (en + F.lit(0.12) + F.lit(0.11) / en) * d
-    needed = F.least(F.ceil(F.lit(4.5) / F.greatest(lam, F.lit(1e-3))), F.lit(terms)).cast("int")
 
     def series(x: Column) -> Column:
         return F.aggregate(
-            F.sequence(F.lit(1), needed),
+            F.sequence(F.lit(1), F.lit(terms)),
             F.lit(0.0),
             lambda s, j: s + F.when(j % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.exp(x * j * j),
         )
@@ -75,7 +71,7 @@ def cumulative_max(values: Column, high: float | None = 1.0) -> Column:
         top = F.greatest(F.element_at(acc, -1), x)
         return F.concat(acc, F.array(top))
 
-    run = F.aggregate(F.slice(values, 2, 100000), F.slice(values, 1, 1), step)
+    run = F.aggregate(F.slice(values, F.lit(2), F.size(values)), F.slice(values, 1, 1), step)
     if high is not None:
         run = F.transform(run, lambda x: F.least(x, F.lit(float(high))))
     complete = F.forall(values, lambda x: x.isNotNull())
@@ -83,7 +79,7 @@ def cumulative_max(values: Column, high: float | None = 1.0) -> Column:
 
 
 def repair_monotone(values: Column, tol: float = 1e-6, high: float = 1.0) -> Column:
-    """Non-decreasing ratios: struct(out, violations, magnitude).
+    """Non-decreasing ratios: struct(out, violations, magnitude, lifts).
 
     Clamp to [0, high], last value 1, then lift every value that is more than `tol` below the
     last one seen. NULL is skipped and stays NULL.
@@ -99,6 +95,7 @@ def repair_monotone(values: Column, tol: float = 1e-6, high: float = 1.0) -> Col
         F.lit(float("-inf")).alias("last"),
         F.lit(0).alias("violations"),
         F.lit(0.0).alias("magnitude"),
+        F.filter(clamped, lambda x: F.lit(False)).alias("lifts"),
         F.filter(clamped, lambda x: F.lit(False)).alias("out"),
     )
 
@@ -109,20 +106,24 @@ def repair_monotone(values: Column, tol: float = 1e-6, high: float = 1.0) -> Col
             F.coalesce(y, s["last"]).alias("last"),
             (s["violations"] + F.when(low, 1).otherwise(0)).alias("violations"),
             (s["magnitude"] + F.when(low, s["last"] - x).otherwise(F.lit(0.0))).alias("magnitude"),
+            F.when(low, F.concat(s["lifts"], F.array(s["last"] - x))).otherwise(s["lifts"]).alias("lifts"),
             F.concat(s["out"], F.array(y)).alias("out"),
         )
 
     return F.aggregate(
         clamped, start, step,
-        lambda s: F.struct(s["out"], s["violations"], s["magnitude"]),
+        lambda s: F.struct(s["out"], s["violations"], s["magnitude"], s["lifts"]),
     )
 
 
 def pchip_slopes(p: Column, g: Column) -> Column:
-    """Knot slopes of the monotone cubic through (p_i, g_i), two knots or more."""
+    """Knot slopes of the monotone cubic through (p_i, g_i), two knots or more.
+
+    Equal knots have no slope between them: those slopes are NULL, and so is what depends on them.
+    """
     n = F.size(p)
-    h = F.transform(F.slice(p, 2, 100000), lambda x, i: x - F.get(p, i))
-    m = F.transform(F.slice(g, 2, 100000), lambda y, i: (y - F.get(g, i)) / F.get(h, i))
+    h = F.transform(F.slice(p, F.lit(2), n), lambda x, i: F.nullif(x - F.get(p, i), F.lit(0.0)))
+    m = F.transform(F.slice(g, F.lit(2), n), lambda y, i: (y - F.get(g, i)) / F.get(h, i))
 
     def edge(h0: Column, h1: Column, m0: Column, m1: Column) -> Column:
         d = ((F.lit(2.0) * h0 + h1) * m0 - h0 * m1) / (h0 + h1)
@@ -148,7 +149,7 @@ def hermite_with_linear_tails(x: Column, p: Column, g: Column, d: Column) -> Col
     i = F.greatest(F.least(F.size(F.filter(p, lambda v: v <= x)) - 1, n - 2), F.lit(0))
     p0, p1, g0, g1 = F.get(p, i), F.get(p, i + 1), F.get(g, i), F.get(g, i + 1)
     h = p1 - p0
-    t = (x - p0) / h
+    t = (x - p0) / F.nullif(h, F.lit(0.0))
     inside = (
         (F.lit(2.0) * t * t * t - F.lit(3.0) * t * t + F.lit(1.0)) * g0
         + (t * t * t - F.lit(2.0) * t * t + t) * h * F.get(d, i)

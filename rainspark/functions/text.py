@@ -14,8 +14,8 @@ STATE_CODES = {
     "rondonia": "RO", "roraima": "RR", "santa catarina": "SC", "sao paulo": "SP",
     "sergipe": "SE", "tocantins": "TO",
 }
-ACCENTED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
-UNACCENTED = "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
+ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
+UNACCENTED = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 
 
 def normalise_code8(c: Column) -> Column:
@@ -29,7 +29,8 @@ def strip_leading_zeros(c: Column) -> Column:
 
 
 def fold_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, UNACCENTED)
+    """Letters without accents, also where the accent is a character of its own."""
+    return F.regexp_replace(F.translate(c, ACCENTED, UNACCENTED), r"\p{Mn}", "")
 
 
 def normalise_name(c: Column) -> Column:

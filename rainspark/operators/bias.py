@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rainspark.sources.inventory import first_row_per
@@ -71,14 +73,13 @@ def zeta(
     )
 
 
-def with_coordinates(zetas: DataFrame, stations: DataFrame) -> DataFrame:
-    """Adds lat/lon; stations without metadata keep NULL."""
+def with_coordinates(
+    zetas: DataFrame, stations: DataFrame, order: Sequence[str] = ("lat", "lon")
+) -> DataFrame:
+    """Adds lat/lon of a station's first row by `order`; stations without metadata keep NULL."""
     meta = first_row_per(
-        stations.dropna(subset=["code", "lat", "lon"]).select(
-            F.col("code").alias("station_id"), "lat", "lon"
-        ),
-        ["station_id"], ["lat", "lon"],
-    )
+        stations.dropna(subset=["code", "lat", "lon"]), ["code"], order
+    ).select(F.col("code").alias("station_id"), "lat", "lon")
     return zetas.join(meta, "station_id", "left")
 
 

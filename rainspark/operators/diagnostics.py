@@ -57,14 +57,11 @@ def exponential_fit(
     )
 
 
-def fill_coordinates(pairs: DataFrame) -> DataFrame:
-    """Rows without lat/lon take those of any row of the same station that has them."""
+def fill_coordinates(pairs: DataFrame, order: Sequence[str] = ("lat", "lon")) -> DataFrame:
+    """Rows without lat/lon take those of the station's first row, by `order`, that has them."""
     known = first_row_per(
-        pairs.dropna(subset=["station_id", "lat", "lon"]).select(
-            "station_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")
-        ),
-        ["station_id"], ["_lat", "_lon"],
-    )
+        pairs.dropna(subset=["station_id", "lat", "lon"]), ["station_id"], order
+    ).select("station_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     return (
         pairs.join(known, "station_id", "left")
         .withColumn("lat", F.coalesce("lat", "_lat")).withColumn("lon", F.coalesce("lon", "_lon"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rainspark.functions.series import cumulative_max, repair_monotone
 from rainspark.grid import CETESB_FACTORS, DURATIONS_MIN
 from rainspark.operators.neighbours import nearest_k
+from rainspark.operators.quantiles import exact_quantiles
 from rainspark.operators.raster import fill_nearest
 
 STATION_COLUMNS = tuple(f"all_c{d}" for d in DURATIONS_MIN)
@@ -80,13 +81,15 @@ def repaired_ratios(
 
 
 def repair_summary(vectors: DataFrame, tol: float = 1e-6) -> DataFrame:
-    """One row: cells, share of repaired cells, and number and sum of the lifts."""
+    """One row: cells, share of repaired cells, and number, sum and median (0 without any) of the lifts."""
     fixed = vectors.select(repair_monotone(F.col("ratio"), tol).alias("r"))
+    middle = exact_quantiles(fixed.select(F.explode("r.lifts").alias("lift")), [], "lift", [0.5]).select("q").first()
     return fixed.agg(
         F.count("*").alias("n_cells"),
         F.avg(F.when(F.col("r.violations") > 0, 1.0).otherwise(0.0)).alias("repaired_share"),
         F.sum("r.violations").cast("long").alias("lifts"),
         F.sum("r.magnitude").alias("lift_sum"),
+        F.lit(middle[0] if middle else 0.0).alias("lift_median"),
     )
 
 

@@ -70,10 +70,13 @@ def extremes(
     return declustered(events, gap_days, min_per_year, min_mm)
 
 
-def station_cells(stations: DataFrame, grid: Grid) -> DataFrame:
-    """Stations with coordinates, one row per code, and the cell they lie in."""
+def station_cells(stations: DataFrame, grid: Grid, order: Sequence[str] = ("lat", "lon")) -> DataFrame:
+    """Stations with coordinates, one row per code, and the cell they lie in.
+
+    `order` names the columns that say which of several rows of a code came first in the source.
+    """
     located = stations.dropna(subset=["code", "lat", "lon"])
-    unique = first_row_per(located, ["code"], ["lat", "lon"])
+    unique = first_row_per(located, ["code"], order)
     row, col = grid.row_of(F.col("lat")), grid.col_of(F.col("lon"))
     return unique.withColumn("row", row).withColumn("col", col).filter(grid.inside(row, col))
 
@@ -92,7 +95,8 @@ def sample_product(
 
 
 def event_pairs(
-    events: DataFrame, stations: DataFrame, product_daily: DataFrame, grid: Grid, min_mm: float = 1.0
+    events: DataFrame, stations: DataFrame, product_daily: DataFrame, grid: Grid, min_mm: float = 1.0,
+    order: Sequence[str] = ("lat", "lon"),
 ) -> DataFrame:
     """(product, station_id, lat, lon, date, pr_p, pr_g, ratio) with both rains above `min_mm`.
 
@@ -100,7 +104,7 @@ def event_pairs(
     the bound reaches the scan of the product. Events are few, so they are reduced first; the
     product must be unique per (product, date, row, col).
     """
-    cells = station_cells(stations, grid).select("code", "lat", "lon", "row", "col")
+    cells = station_cells(stations, grid, order).select("code", "lat", "lon", "row", "col")
     wet = product_daily.filter(F.col("pr_p") > min_mm).select("product", "date", "row", "col", "pr_p")
     located = events.filter(F.col("pr_g") > min_mm).join(cells, "code")
     return located.join(wet, ["date", "row", "col"]).select(

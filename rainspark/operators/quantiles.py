@@ -2,8 +2,9 @@
 
 `percentile` keeps all distinct values of a group in one task. Here a group may hold most of the
 data: equal values are counted first, a histogram of fixed width finds the cell of each wanted
-rank, and only the values of those cells are looked at more closely, twice. Every shuffle is keyed by value or
-histogram cell, and no window sees more than the histogram's cells or one cell's values.
+rank, and only the values of those cells are looked at more closely, until no cell has more
+values than a histogram has cells. Every shuffle is keyed by value or histogram cell, and no
+window sees more than that.
 """
 
 from __future__ import annotations
@@ -74,12 +75,17 @@ def exact_quantiles(
     wanted = wanted.withColumn("want", F.col("rank"))
     pool = counts.join(sizes.drop("total"), keys)
 
-    pool, left, k1 = _narrow(pool, wanted, keys, bins, "_b1")
-    pool, left, k2 = _narrow(pool, left, k1, bins, "_b2")
-    w = W.partitionBy(*k2).orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # narrow until every cell that holds a wanted rank has few values, however they are spread
+    cell, level = keys, 0
+    while True:
+        pool, left, cell = _narrow(pool, wanted if level == 0 else left, cell, bins, f"_b{level}")
+        pool, level = materialise(pool, "cells"), level + 1
+        if (pool.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0) <= bins:
+            break
+    w = W.partitionBy(*cell).orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     tail = pool.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
     at_rank = (
-        left.join(tail, k2)
+        left.join(tail, cell)
         .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("want", "v"))).alias("values"))

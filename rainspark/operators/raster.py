@@ -11,6 +11,8 @@ from rainspark.grid import Grid
 from rainspark.operators.neighbours import nearest_k
 from rainspark.session import materialise
 
+REACH = 3  # steps within which a bad cell looks for a good one before the tree search
+
 
 def point_bounds(points: DataFrame) -> DataFrame:
     """One row: the box around the points."""
@@ -141,7 +143,7 @@ def sample_raster(
 
 def fill_nearest(
     cells: DataFrame, valid: str, bands: Sequence[str], keys: Sequence[str] = (),
-    needed: str | None = None,
+    needed: str | None = None, reach: int = REACH,
 ) -> DataFrame:
     """Cells where the flag column `valid` is not true take all bands of the nearest valid cell.
 
@@ -149,6 +151,10 @@ def fill_nearest(
     where nothing can be borrowed) and src_dist (0 for valid cells). With the flag column `needed`
     only the cells it marks are filled. The cells are written once, since the good ones, the bad
     ones and the search all read them.
+
+    Bad cells first look at the places within `reach` steps of row and column, by an equi join;
+    what they find within that distance is final. The few that are farther from any good cell go
+    to the tree search. Only places travel; bands are joined to the places found.
     """
     cells = materialise(cells, "cells")
     ok = F.coalesce(F.col(valid), F.lit(False))
@@ -160,17 +166,39 @@ def fill_nearest(
     )
     if bad.isEmpty():
         return kept
-    # row/col order decides between equally near cells; the bands travel with the neighbour
-    near = nearest_k(
-        bad, good, 1, tie=["row", "col"], payload=list(bands), group=keys, x="col", y="row"
-    ).withColumn("_s", F.get("neighbours", F.lit(0)))
-    filled = near.select(
+    place = [*keys, "row", "col"]
+    steps = range(-reach, reach + 1)
+    offsets = F.array(*[
+        F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(float(r * r + c * c)).alias("d2"))
+        for r in steps for c in steps if 0 < r * r + c * c <= reach * reach
+    ])
+    looked = bad.select(*place, F.explode(offsets).alias("o")).select(
+        *place, (F.col("row") + F.col("o.r")).alias("src_row"), (F.col("col") + F.col("o.c")).alias("src_col"),
+        F.col("o.d2").alias("d2"),
+    )
+    sources = good.select(*keys, F.col("row").alias("src_row"), F.col("col").alias("src_col"))
+    close = looked.join(sources, [*keys, "src_row", "src_col"]).groupBy(*place).agg(
+        F.min(F.struct("d2", "src_row", "src_col")).alias("s")
+    )
+    close = materialise(close.select(*place, "s.src_row", "s.src_col", "s.d2"), "close")
+    far = bad.select(*place).join(close, place, "left_anti")
+    if not far.isEmpty():
+        near = nearest_k(
+            far, good.select(*place), 1, tie=["row", "col"], payload=[], group=keys, x="col", y="row"
+        ).withColumn("_s", F.get("neighbours", F.lit(0))).filter(F.col("_s").isNotNull())
+        close = close.unionByName(near.select(
+            *place, F.col("_s.row").alias("src_row"), F.col("_s.col").alias("src_col"), F.col("_s.d2").alias("d2")
+        ))
+    taken = good.select(
+        *keys, F.col("row").alias("src_row"), F.col("col").alias("src_col"), F.struct(*bands).alias("_b")
+    )
+    found = close.join(taken, [*keys, "src_row", "src_col"])
+    filled = bad.join(found, place, "left").select(
         *[
-            F.when(F.col("_s").isNotNull(), F.col("_s")[c]).otherwise(F.col(c)).alias(c)
+            F.when(F.col("_b").isNotNull(), F.col("_b")[c]).otherwise(F.col(c)).alias(c)
             if c in bands else F.col(c)
             for c in cells.columns
         ],
-        F.col("_s.row").alias("src_row"), F.col("_s.col").alias("src_col"),
-        F.sqrt("_s.d2").alias("src_dist"),
+        "src_row", "src_col", F.sqrt("d2").alias("src_dist"),
     )
     return kept.unionByName(filled)

@@ -23,11 +23,17 @@ from rainspark.operators.disaggregation import intensity_scale
 EPS = 2.0 ** -52
 C_MAX = 5.0
 COARSE = 40        # geometric steps of the first pass
-REFINE = 6         # further passes around the best b
-FINE = 8           # steps of each of them
+FINE = 8           # steps of each further pass around the best b
+TOLERANCE = 2e-4   # relative width of the bracket around b at which the search stops
 MIN_DURATIONS = 3
 
 
+def passes(durations: Sequence[int] = DURATIONS_MIN, tolerance: float = TOLERANCE) -> int:
+    """Passes after the first that narrow its bracket, of one step each way, to the tolerance."""
+    step = (5.0 * max(durations) / 0.05) ** (1.0 / (COARSE - 1.0))
+    return max(1, math.ceil(math.log((step - 1.0 / step) / tolerance) / math.log(FINE / 2.0)))
+
+
 DUR = (
     "b double, c double, xm double, zm double, n int, s1 double, ss double, sg double, gg double, "
     "at_bound boolean"
@@ -62,7 +68,7 @@ def _search(scale: np.ndarray, minutes: np.ndarray) -> pd.DataFrame:
     b = best(np.concatenate([np.zeros_like(top), geometric], axis=1))
     low = np.where(b <= 0.05, 0.0, b / step)
     high = np.minimum(np.maximum(b, 0.05) * step, top)
-    for _ in range(REFINE):
+    for _ in range(passes([int(minutes.max())])):
         width = (high - low) / FINE
         b = best(low + np.arange(FINE + 1) * width)
         low, high = np.maximum(b - width, 0.0), np.minimum(b + width, top)
@@ -118,54 +124,52 @@ def fitted_constant(ratios: Sequence[float], durations: Sequence[int] = DURATION
     return F.struct(*[F.lit(row[name].item()).cast(kind).alias(name) for name, kind in kinds])
 
 
-def _total(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out + c
-    return out
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
 def fit_sherman(df: DataFrame, periods: Sequence[float] = RETURN_PERIODS) -> DataFrame:
     """Adds K, a, b, c, R2, RMSE, MSE, at_bound to rows with AMD_mean, AMD_std and `dur`.
 
-    Plain arithmetic on each row. NULL where a quantile is missing or not positive, or where the
-    ratio vector could not be fitted.
+    NULL where a quantile is missing or not positive, or where the ratio vector could not be
+    fitted. The sums over the periods are folds over one short array: written out, they make the
+    generated method of a stage that goes on to serve the fit too large to compile.
     """
     m = len(periods)
     x = [math.log10(t) for t in periods]
     x_mean = sum(x) / m
     sxx = sum((v - x_mean) ** 2 for v in x)
+    years = F.array(*[F.lit(float(t)) for t in periods])
+    weights = F.array(*[F.lit((v - x_mean) / sxx) for v in x])
 
-    q = [F.col(f"_q{i}") for i in range(m)]
-    out = df.withColumns({
-        f"_q{i}": gumbel_quantile(F.col("AMD_mean"), F.col("AMD_std"), t)
-        for i, t in enumerate(periods)
-    })
+    q = F.col("_q")
+    out = df.withColumn("_q", F.array(*[gumbel_quantile(F.col("AMD_mean"), F.col("AMD_std"), t) for t in periods]))
     # Q grows with T, so the first one decides whether all logarithms exist
-    y = [F.when(q[0] > 0, F.log10(v)) for v in q]
-    slope = _total([y[i] * F.lit(x[i] - x_mean) for i in range(m)]) / F.lit(sxx)
+    out = out.withColumn("_y", F.when(F.get(q, F.lit(0)) > 0, F.transform(q, F.log10)))
     out = out.withColumns({
-        "a": F.least(F.greatest(slope, F.lit(-1.0)), F.lit(1.0)),
-        "_ym": _total(y) / F.lit(float(m)),
+        "_slope": _total(F.zip_with("_y", weights, lambda y, w: y * w)), "_ym": _total(F.col("_y")) / F.lit(float(m)),
+        "_qs": _total(q), "_qq": _total(F.transform(q, lambda v: v * v)),
         "b": F.col("dur.b"), "c": F.col("dur.c"),
-    }).withColumn("a", F.when(slope.isNotNull(), F.col("a")))
+    })
+    slope = F.col("_slope")
+    out = out.withColumn("a", F.when(slope.isNotNull(), F.least(F.greatest(slope, F.lit(-1.0)), F.lit(1.0))))
     log_k = (
         F.col("_ym") + F.col("dur.zm") - F.col("a") * F.lit(x_mean) + F.col("c") * F.col("dur.xm")
     )
-    out = out.withColumn("K", F.pow(F.lit(10.0), log_k))
-    # fitted intensity is A_i * g_j with A_i = K T_i^a; sums over j are known per ratio vector
-    big = [F.col("K") * F.pow(F.lit(float(t)), F.col("a")) for t in periods]
-    residual = _total([
-        v * v * F.col("dur.ss") - F.lit(2.0) * v * w * F.col("dur.sg") + w * w * F.col("dur.gg")
-        for v, w in zip(q, big)
-    ])
-    cells = F.lit(float(m)) * F.col("dur.n")
-    total = F.col("_qq") * F.col("dur.ss") - F.pow(F.col("_qs") * F.col("dur.s1"), 2) / cells
+    out = out.withColumns({"K": F.pow(F.lit(10.0), log_k), "_ta": F.transform(years, lambda t: F.pow(t, F.col("a")))})
+    # fitted intensity is K T_i^a g_j; sums over j are known per ratio vector
     out = out.withColumns({
-        "_sse": F.greatest(residual, F.lit(0.0)),
-        "_qs": _total(q), "_qq": _total([v * v for v in q]),
+        "_qt": _total(F.zip_with(q, "_ta", lambda v, t: v * t)), "_tt": _total(F.transform("_ta", lambda t: t * t)),
     })
-    fitted = F.col("K").isNotNull()
+    k = F.col("K")
+    residual = (
+        F.col("_qq") * F.col("dur.ss") - F.lit(2.0) * k * F.col("_qt") * F.col("dur.sg")
+        + k * k * F.col("_tt") * F.col("dur.gg")
+    )
+    cells = F.lit(float(m)) * F.col("dur.n")
+    total = F.col("_qq") * F.col("dur.ss") - F.pow(F.col("_qs") * F.col("dur.s1"), 2) / cells
+    out = out.withColumn("_sse", F.greatest(residual, F.lit(0.0)))
+    fitted = k.isNotNull()
     return (
         out.withColumns({
             "MSE": F.when(fitted, F.col("_sse") / cells),
@@ -175,7 +179,7 @@ def fit_sherman(df: DataFrame, periods: Sequence[float] = RETURN_PERIODS) -> Dat
             "a": F.when(fitted, F.col("a")),
             "at_bound": F.when(fitted, F.col("dur.at_bound")),
         })
-        .drop(*[f"_q{i}" for i in range(m)], "_ym", "_sse", "_qs", "_qq")
+        .drop("_q", "_y", "_slope", "_ym", "_sse", "_qs", "_qq", "_ta", "_qt", "_tt")
     )
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 LAT_NAMES = ("lat", "latitude", "y", "lat_g", "y_g", "coord_y", "latitude_dd")
 LON_NAMES = ("lon", "longitude", "long", "x", "lng", "lon_g", "x_g", "coord_x", "longitude_dd")
 NYD_NAMES = ("nyd", "n_y_d", "n_y", "years_data", "n_years_data")
-STATE_NAMES = ("state", "uf", "estado", "state_name", "sigla_uf")
+STATE_NAMES = ("uf", "state", "st", "region")
+STATE_PATTERN = r"state|province|region|uf|admin"
 PRODUCT_COLUMNS = {
     "xavier_pr_mm": "BR-DWGD", "xavier_mm": "BR-DWGD", "xavier": "BR-DWGD",
     "imerg_mm": "IMERG", "imerg": "IMERG",
@@ -23,33 +24,41 @@ END_PATTERNS = (r"^end", r"last", r"^to", r"^year_end")
 ROLES = {"lat": LAT_NAMES, "lon": LON_NAMES, "nyd": NYD_NAMES, "state": STATE_NAMES}
 
 
-def guess_column(df: DataFrame, role: str) -> str:
-    """Name of the column that plays `role` ('lat', 'lon', 'nyd' or 'state')."""
+def guess_column(df: DataFrame, role: str) -> str | None:
+    """Name of the column that plays `role` ('lat', 'lon', 'nyd' or 'state').
+
+    A file may have no state column (None); the other roles must be there.
+    """
     by_lower = {c.strip().lower(): c for c in reversed(df.columns)}
     for name in ROLES[role]:
         if name in by_lower:
             return by_lower[name]
     if role == "state":
         for c in df.columns:
-            if re.search(r"(^|_)(state|uf|estado)($|_)", c, re.IGNORECASE):
+            if re.search(STATE_PATTERN, c, re.IGNORECASE):
                 return c
+        return None
     raise ValueError(f"no {role} column among {df.columns}")
 
 
 def guess_year(df: DataFrame, role: str) -> Column:
-    """Start or end year: a '...year' column first, then a date column, else NULL."""
+    """Start or end year of the first column that has any: '...year' columns first, then dates.
+
+    One aggregate over the file decides for the whole column; without a column the year is NULL.
+    """
     patterns = START_PATTERNS if role == "start" else END_PATTERNS
     hits = [c for c in df.columns if any(re.search(p, c.lower()) for p in patterns)]
     named_year = [c for c in hits if "year" in c.lower()]
     options = [F.col(c).try_cast("double").cast("int") for c in named_year]
     for c in hits:
-        if c not in named_year:
-            text = F.col(c).cast("string")
-            options += [
-                F.year(F.try_to_timestamp(text, F.lit("M/d/yyyy"))),
-                F.year(F.try_to_timestamp(text)),
-            ]
-    return F.coalesce(*options) if options else F.lit(None).cast("int")
+        text = F.col(c).cast("string")
+        options.append(F.coalesce(
+            F.year(F.try_to_timestamp(text, F.lit("M/d/yyyy"))), F.year(F.try_to_timestamp(text))
+        ))
+    if not options:
+        return F.lit(None).cast("int")
+    counts = df.agg(*[F.count(o).alias(str(i)) for i, o in enumerate(options)]).first()
+    return next((o for o, n in zip(options, counts) if n), F.lit(None).cast("int"))
 
 
 def product_column(df: DataFrame, hint: str | None = None) -> tuple[str, str]:

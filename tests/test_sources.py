@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from rainspark.functions import series, text
 from rainspark.operators import calendar
 from rainspark.sources import columns, daily, inventory, pairs, rasters
 
@@ -138,3 +139,28 @@ def test_bands_by_name_or_position(spark):
     assert (stack.K, stack.Nyears) == (0.0, 12.0)
     with pytest.raises(ValueError, match="Nyears"):
         rasters.band(plain.drop("b12"), "Nyears", keys=1)
+
+
+def test_state_column_is_optional_and_in_order(spark):
+    names = lambda *c: spark.createDataFrame([tuple("x" for _ in c)], list(c))
+    assert columns.guess_column(names("UF", "State"), "state") == "UF"
+    assert [columns.guess_column(names(c), "state") for c in ("ST", "Region", "Province", "admin1")] == ["ST", "Region", "Province", "admin1"]
+    assert columns.guess_column(names("Code", "Lat"), "state") is None
+
+
+def test_year_is_taken_from_one_column(spark):
+    df = spark.createDataFrame([(None, "1/15/1980"), ("1990", "2/1/1970")], "start_year string, StartDate string")
+    assert [r[0] for r in df.select(columns.guess_year(df, "start")).collect()] == [None, 1990]
+    empty = df.withColumn("start_year", F.lit("n/a"))
+    assert sorted(r[0] for r in empty.select(columns.guess_year(empty, "start")).collect()) == [1970, 1980]
+
+
+def test_accents_of_their_own_are_folded(spark):
+    df = spark.createDataFrame([("Sa\u0303o Paulo",), ("S\u00e3o Paulo",), ("Ceara\u0301",)], "s string")
+    assert [r[0] for r in df.select(text.state_code(F.col("s"))).collect()] == ["SP", "SP", "CE"]
+
+
+def test_knots_at_one_place_give_null(spark):
+    df = spark.createDataFrame([([1.0, 1.0, 2.0], [1.0, 2.0, 3.0], 1.5), ([1.0, 2.0], [1.0, 3.0], 1.5)], "p array<double>, g array<double>, x double")
+    got = df.select(series.hermite_with_linear_tails(F.col("x"), F.col("p"), F.col("g"), series.pchip_slopes(F.col("p"), F.col("g"))))
+    assert [r[0] for r in got.collect()] == [None, 2.0]

@@ -96,13 +96,14 @@ def test_regrid_is_linear_and_guards_gaps(spark):
     assert same.exceptAll(cells).count() == 0 and same.count() == 100
 
 
-def test_fill_takes_the_nearest_good_cell(spark):
+@pytest.mark.parametrize("reach", [1, 3, 8])
+def test_fill_takes_the_nearest_good_cell(spark, reach):
     rng = random.Random(6)
     rows = [("g", r, c, rng.random() < 0.15, float(r * 40 + c)) for r in range(40) for c in range(40)]
     rows += [("none", r, 0, False, 1.0) for r in range(3)] + [("all", r, 0, True, float(r)) for r in range(3)]
     df = spark.createDataFrame(rows, "k string, row int, col int, ok boolean, v double")
     good = [(r, c) for k, r, c, ok, _ in rows if k == "g" and ok]
-    for x in raster.fill_nearest(df, "ok", ["v"], ["k"]).collect():
+    for x in raster.fill_nearest(df, "ok", ["v"], ["k"], reach=reach).collect():
         if x.k == "none":
             assert (x.v, x.src_row, x.src_dist) == (1.0, None, None)
         elif x.ok:
