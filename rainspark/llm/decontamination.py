@@ -163,7 +163,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     prints = found.select("size", F.col("fp0").alias("w0"), F.col("fp1").alias("w1")).distinct()
     asked = prints.select("size", "w0", "w1", F.explode(blocks).alias("b")).select("size", "w0", "w1", "b.block", "b.value")
     distance = F.bit_count(F.col("w0").bitwiseXOR(F.col("fp0"))) + F.bit_count(F.col("w1").bitwiseXOR(F.col("fp1")))
-    near = asked.join(block_entries(prepared), ["size", "block", "value"]).where(distance <= RADIUS).select("size", F.col("w0").alias("fp0"), F.col("w1").alias("fp1"), "item_id").distinct()
+    # the entries are many times the items, which a plan made from the items' size would broadcast
+    entries = block_entries(prepared).hint("merge")
+    near = asked.join(entries, ["size", "block", "value"]).where(distance <= RADIUS).select("size", F.col("w0").alias("fp0"), F.col("w1").alias("fp1"), "item_id").distinct()
     candidates = materialise(found.join(near, ["size", "fp0", "fp1"]).select("doc_id", "doc_key", "start", "size", "item_id"), "candidates")
 
     # the texts of the candidates, and of few others, are read once more
