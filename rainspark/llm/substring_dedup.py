@@ -1,7 +1,7 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The reference is the corpus itself. Its index holds the windows of WINDOW words that occur in more
-than one document, each with the first document that has it; the blocks of the index are the
+The reference is the corpus itself. Its index holds windows of WINDOW words, each with the first
+document that has it; the blocks of the index are the
 partitions it is spread over, and every document is looked up in all blocks that can know one of its
 windows. A document is then factored greedily from the left: a factor is the longest stretch all of whose
 windows occur earlier, in an earlier document or earlier in the same one, and what lies between
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from rainspark.llm import links, words
 
 #: Words of a window and of an anchor, and bits of the filter of shared anchors (16 MB).
-WINDOW, ANCHOR, ANCHOR_BITS = 20, 5, 1 << 27
+WINDOW, ANCHOR, ANCHOR_BITS = 20, 7, 1 << 27
 #: A text of at most 2 GB has fewer words.
 _PLACE = np.uint64((1 << 31) - 1)
 
@@ -91,8 +91,9 @@ def duplicates(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFram
             )
 
     found = rows.mapInArrow(window_rows, "window long, doc_id long")
-    index = found.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
-    later = found.join(index.select("window", "source"), "window").where("source < doc_id")
+    # the index stays on the partitions of its aggregate, so windows of one document cost no shuffle there
+    index = found.groupBy(F.col("window").alias("known")).agg(F.min("doc_id").alias("source"))
+    later = found.join(index, (F.col("window") == F.col("known")) & (F.col("source") < F.col("doc_id")))
     # bounded by the length of a document
     return later.groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
 
