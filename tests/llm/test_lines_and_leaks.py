@@ -122,7 +122,7 @@ def test_near_fingerprints_share_a_key(spark, blocks):
     df = spark.createDataFrame(rows, "a long, b long")
     shared = F.arrays_overlap(F.array(*line_dedup.block_keys(F.col("a"), blocks)), F.array(*line_dedup.block_keys(F.col("b"), blocks)))
     assert df.where(shared).count() == len(rows)
-    assert line_dedup.blocks_for(2 * 10**6) == 5 < line_dedup.blocks_for(10**9) < line_dedup.blocks_for(10**12)
+    assert line_dedup.blocks_for(10**4) == 5 < line_dedup.blocks_for(2 * 10**6) < line_dedup.blocks_for(10**9) < line_dedup.blocks_for(10**12)
 
 
 def test_native_main_path(spark):
