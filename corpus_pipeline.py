@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-equal lines the first stays; a document that loses all its words goes."""
-    found = line_dedup.dedup(docs)
+    found = line_dedup.dedup(docs, line_dedup.by_sketch)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return found.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("decontamination", without_benchmark),
     ("bpe", token_ids),
 ]
-#: No SQL: the forest's verdict, SimHash groups and byte pairs are compared with brute-force versions in tests.
+#: No SQL: the forest's verdict, near-equal lines and byte pairs are compared with brute-force versions in tests.
 ORACLE_SQL = None
 
 

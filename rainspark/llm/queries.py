@@ -34,7 +34,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 @query("op1_line_dedup")
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.dedup(read(spark, sf_dir, "documents"), line_dedup.by_sketch).select("doc_id", "n_lines", "n_removed", "text")
 
 
 @query("op2_substring_dedup", sql.SUBSTRINGS)

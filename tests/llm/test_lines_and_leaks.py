@@ -196,3 +196,48 @@ def test_leaks_of_odd_texts(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.matches(frame(spark, docs), none).count() == 0 and decontamination.clean(frame(spark, docs), none).count() == len(docs)
     assert decontamination.clean(frame(spark, docs).limit(0), none).count() == 0
+
+
+def brute_similar_lines(rows):
+    """doc_id -> text and the links, by edit similarity alone."""
+    distinct = sorted({normal(x) for _, t in rows for x in t.split("\n")} - {""})
+    near = lambda a, b: 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * distance(a, b) <= max(len(a), len(b))
+    links = [(a, b) for a, b in itertools.combinations(distinct, 2) if near(a, b)]
+    root = {x: x for x in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        groups = [find(normal(x)) if normal(x) else None for x in t.split("\n")]
+        out[i] = "\n".join(x for n, (x, g) in enumerate(zip(t.split("\n"), groups)) if g is None or g not in seen and g not in groups[:n])
+        seen |= {*groups} - {None}
+    return out, links
+
+
+def test_lines_of_all_lengths_by_edit_similarity(spark):
+    """Against plain edit similarity, without a fingerprint: near copies of one changed word or a typo."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    rows = []
+    for n in (1, 2, 3, 5, 8, 10, 12, 15, 20, 30, 45):
+        for _ in range(6):
+            w = [rng.choice(words) for _ in range(n)]
+            changed, typo = list(w), list(" ".join(w))
+            changed[rng.randrange(n)] = rng.choice(words)
+            typo[rng.randrange(len(typo))] = "z"
+            rows += [(len(rows) + k, x) for k, x in enumerate((" ".join(w), " ".join(changed), "".join(typo)))]
+    want, links = brute_similar_lines(rows)
+    found = line_dedup.dedup(frame(spark, rows).repartition(6), line_dedup.by_sketch)
+    assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
+    got = {r.doc_id: r.text for r in found.collect()}
+    wrong = [(i, rows[i][1]) for i in want if got[i] != want[i]]
+    removed = sum(not t for t in want.values())
+    print(len(links), removed, wrong)
+    assert removed > 100 and len(wrong) <= removed // 50
+    assert all(want[i] == "" for i, t in got.items() if t == "")
