@@ -557,6 +557,31 @@ def idf_rows(spark, d):
     return rounded(serving.idf_rows(_cetesb_params(spark, d), CELL), "intensity", digits=4)
 
 
+@case("idf_curve_all_modes", f"""
+SELECT code, product, bias, disagg, d AS duration_min, {", ".join(
+    f"{q6(INTENSITY.format(t=f'{p}e0', d='d'), 4)} AS rp_{p}" for p in CURVE_RETURN_PERIODS)}
+FROM v_stations s JOIN v_final p ON p.r = floor((5e0 - s.lat) / 0.19e0) AND p.c = floor((s.lon + 73e0) / 0.38e0),
+  (SELECT unnest({list(CURVE_DURATIONS_MIN)}) AS d)
+WHERE k IS NOT NULL""")
+def idf_curve_all_modes(spark, d):
+    """Curves at every station, from the complete parameter table."""
+    at = raster.sample_raster(
+        t.stations(spark, d).select("code", "lat", "lon"), _all_params(spark, d), t.FINE,
+        ["K", "a", "b", "c"], serving.COMBO,
+    )
+    curves = serving.idf_curve(at, ["code", *serving.COMBO])
+    return rounded(curves, *[f"rp_{p}" for p in CURVE_RETURN_PERIODS], digits=4)
+
+
+@case("idf_rows_all_modes", f"""
+SELECT product, bias, disagg, {RC}, d AS duration_min, t AS T, {q6(INTENSITY.format(t='t', d='d'), 4)} AS intensity
+FROM v_final, (SELECT unnest({list(CURVE_DURATIONS_MIN)}) AS d), (SELECT unnest({list(CURVE_RETURN_PERIODS)}) AS t)
+WHERE k IS NOT NULL""")
+def idf_rows_all_modes(spark, d):
+    """Curves of every cell of every product and mode."""
+    return rounded(serving.idf_rows(_all_params(spark, d), [*CELL[:2], "disagg", *CELL[2:]]), "intensity", digits=4)
+
+
 @case("compare_design", f"""
 SELECT code, T, duration_min, bias, disagg, {", ".join(
     f"{q6(f'max(i) FILTER (product = {chr(39)}{p}{chr(39)})', 4)} AS {chr(34)}{p}{chr(34)}" for p, _ in t.FACTORS)}
@@ -588,3 +613,20 @@ def sample_points(spark, d):
     )
     out = sampled.select("code", "place", "place_full", "elev_m", *serving.COMBO, "K", "a", "b", "c", "missing")
     return rounded(rounded(rounded(out, "a", "c"), "K", digits=3), "b", digits=4)
+
+
+@case("sample_points_all_modes", f"""
+SELECT s.code, coalesce(a.adm2, '—') AS place, coalesce(a.adm2 || ', ' || a.adm1 || ', ' || a.adm0, '—') AS place_full, e.elev_m,
+       p.product, p.bias, p.disagg, {q6('p.k', 3)} AS K, {q6('p.a')} AS a, {q6('p.b', 4)} AS b, {q6('p.cc')} AS c,
+       p.k IS NULL AS missing
+FROM v_stations s LEFT JOIN v_areas a ON {INSIDE}
+LEFT JOIN v_cells e ON e.r = floor((5e0 - s.lat) / 0.19e0) AND e.c = floor((s.lon + 73e0) / 0.38e0)
+LEFT JOIN v_final p ON p.r = floor((5e0 - s.lat) / 0.19e0) AND p.c = floor((s.lon + 73e0) / 0.38e0)""")
+def sample_points_all_modes(spark, d):
+    """Points read from the complete parameter table."""
+    sampled = serving.sample_points(
+        t.stations(spark, d).select("code", "lat", "lon"), _all_params(spark, d), t.FINE,
+        t.areas(spark, d), t.elevation(spark, d), tile=2.0,
+    )
+    out = sampled.select("code", "place", "place_full", "elev_m", *serving.COMBO, "K", "a", "b", "c", "missing")
+    return rounded(rounded(rounded(out, "a", "c"), "K", digits=3), "b", digits=4)
