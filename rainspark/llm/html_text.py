@@ -31,7 +31,9 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SPACED = frozenset("br wbr img input".split())
-RAW = "script|style|noscript|template|textarea|select|iframe|object|svg|math|canvas|audio|video|button"
+#: Dropped to the closing tag or else to the end of the page; dropped to the closing tag or else to the parent's close.
+RAW = "script|style|textarea|iframe"
+DROPPED = frozenset("noscript template select object svg canvas audio video button".split())
 MAIN = frozenset("article main".split())
 APART = frozenset("nav header footer aside form menu dialog head title fieldset search".split())
 APART_NAMES = frozenset(
@@ -39,11 +41,13 @@ APART_NAMES = frozenset(
     "navbar navigation newsletter notice pagination popup promo promoted related respond reply replies disqus share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: Words of a class that tells the state of a page or wrapper: has-sidebar, comments-open.
+STATE_WORDS = frozenset("has with without no open closed".split())
 MAIN_NAMES = frozenset("article content entry main post story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>]*)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>]*)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -70,22 +74,32 @@ class Element:
     place: int
     heading: bool
     label: bool
+    soft: bool = False
 
 
-def place_of(name: str, attributes: str, inside: int) -> int:
-    """What an element says about its blocks: apart stays apart, whatever stands inside."""
-    if inside < 0:
-        return -1
-    if name in MAIN:
-        return 1
-    names = set()
+def place_of(name: str, attributes: str, inside: int, soft: bool = False) -> tuple[int, bool]:
+    """What an element says about its blocks, and whether it is apart only as a wrapper may be.
+
+    An article or main inside an element apart is an article again, unless its own names say otherwise (a
+    comment); an element named as content is only inside a form.
+    """
+    names, apart = set(), set()
     for m in NAMES.finditer(attributes):
-        names |= set(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
-    if names & APART_NAMES and not (inside > 0 and name in HEADINGS):
-        return -1
+        for one in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = set(re.split(r"[^a-z0-9]+", one))
+            names |= parts
+            apart |= parts & APART_NAMES if not parts & STATE_WORDS else set()
+    if name in ("html", "body"):
+        apart = set()
+    if name in MAIN and (inside >= 0 or not apart or names & MAIN_NAMES):
+        return 1, False
+    if inside < 0:
+        return (1, False) if soft and names & MAIN_NAMES and not apart and name not in APART else (-1, soft and not apart and name not in APART)
+    if apart and not (inside > 0 and name in HEADINGS):
+        return -1, False
     if name in APART and not (inside > 0 and name == "header"):
-        return -1
-    return 1 if inside > 0 or names & MAIN_NAMES else 0
+        return -1, name == "form"
+    return (1 if inside > 0 or names & MAIN_NAMES else 0), False
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -94,9 +108,12 @@ def blocks_of(page: str) -> list[Block]:
     links, at = 0, 0
     found: list[Block] = []
     block = Block(0, False)
+    # the dropped element that is open: name, parent, number of elements around it, how often it is open
+    drop: tuple[str, Element | None, int] | None = None
+    nested = 0
 
     def add(text: str) -> None:
-        if text:
+        if text and drop is None:
             block.text.append(text)
             if n := len(text.split()):
                 block.words += n
@@ -117,8 +134,24 @@ def blocks_of(page: str) -> list[Block]:
         if not m[3]:
             continue
         name, closes = m[3].lower(), bool(m[2])
+        if name in DROPPED:
+            empty = name == "svg" and m[4].rstrip().endswith("/")
+            if drop is None and not closes and not empty:
+                add(" ")
+                drop, nested = (name, open_[-1] if open_ else None, len(open_)), 1
+            elif drop is not None and name == drop[0] and not empty:
+                nested += -1 if closes else name in ("svg", "object", "template")
+                if not nested:
+                    inner = len(open_) > drop[2]
+                    del open_[drop[2] :]
+                    drop = None
+                    if inner:
+                        cut()
+            continue
         if name in SPACED:
             add(" ")
+        if drop is not None and name == "a":
+            continue
         if name == "a":
             links = max(0, links - 1) if closes else links + 1
         elif name in BLOCKS:
@@ -130,10 +163,16 @@ def blocks_of(page: str) -> list[Block]:
                         break
             elif name not in VOID:
                 # a paragraph, heading or item ends where the next block of its kind begins
-                if open_ and open_[-1].name in HEADINGS | {"p"} or open_ and open_[-1].name == name and name in ("li", "dd", "dt", "option", "tr", "td", "th"):
+                kept = drop is not None and drop[0] not in ("button", "select") and bool(open_) and open_[-1] is drop[1]
+                if kept:
+                    pass
+                elif open_ and open_[-1].name in HEADINGS | {"p"} or open_ and open_[-1].name == name and name in ("li", "dd", "dt", "option", "tr", "td", "th"):
                     open_.pop()
                 top = open_[-1] if open_ else Element("", 0, False, False)
-                open_.append(Element(name, place_of(name, m[4], top.place), name in HEADINGS, top.label or bool(MARKED.search(m[4]))))
+                place, soft = place_of(name, m[4], top.place, top.soft)
+                open_.append(Element(name, place, name in HEADINGS, top.label or bool(MARKED.search(m[4])), soft))
+            if drop is not None and drop[1] is not None and not any(e is drop[1] for e in open_):
+                drop = None
             cut()
     add(page[at:])
     cut()
