@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rainspark.llm import bpe, decontamination, html_text, jaccard_join, language, line_dedup, quality, secret_ledger, sql, substring_dedup, token_counts
+from rainspark.llm import bpe, decontamination, fill_middle, html_text, jaccard_join, language, line_dedup, quality, secret_ledger, sql, substring_dedup, token_counts, top_k, vector_codes
 from rainspark.llm.tables import read
 from rainspark.session import materialise, shared_folder
 
@@ -111,3 +111,21 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_text")
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+@query("op11_top_k", sql.TOP_K)
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(read(spark, sf_dir, "embeddings"), k=5, scale=256, every=50)
+
+
+@query("op12_vector_codes", sql.VECTOR_CODES)
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(*vector_codes.codes(read(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024))
+
+
+@query("op13_fill_in_middle", sql.FILL_IN_MIDDLE)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.digests(fill_middle.fill_in_middle(read(spark, sf_dir, "documents"), seed=42, rate=50, spm_rate=80))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.col("digests.output").alias("output_sha256"), F.col("digests.restored").alias("restored_sha256")
+    )

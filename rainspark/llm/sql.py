@@ -70,3 +70,74 @@ found AS (
 SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN found f ON f.doc_id = d.doc_id"""
+
+
+def _integers(scale: int) -> str:
+    """vec_id, label, v: the integer vectors of the rows that take part."""
+    return f"""(
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+TOP_K = f"""
+WITH x AS MATERIALIZED {_integers(256)},
+scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+  FROM x AS q JOIN x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5"""
+
+_PARTS = """
+parts AS MATERIALIZED (
+  SELECT vec_id, label, m, v[m * (len(v) // 4) + 1 : (m + 1) * (len(v) // 4)] AS p FROM x, range(4) t(m)),
+book0 AS MATERIALIZED (
+  SELECT m, e, p FROM parts JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM x QUALIFY row_number() OVER (ORDER BY vec_id) <= 256) USING (vec_id))"""
+
+
+def _nearest(n: int) -> str:
+    """Each part's nearest entry in the codebooks after n rounds, with its squared distance."""
+    return f"""
+near{n} AS MATERIALIZED (
+  SELECT vec_id, label, m, p, min(struct_pack(d := d, e := e)) AS best FROM (
+    SELECT a.vec_id, a.label, a.m, a.p, b.e, list_inner_product(a.p, a.p) - 2 * list_inner_product(a.p, b.p) + list_inner_product(b.p, b.p) AS d
+    FROM parts a JOIN book{n} b ON a.m = b.m) GROUP BY vec_id, label, m, p)"""
+
+
+def _book(n: int) -> str:
+    """The codebooks after n rounds: means of the parts of each entry, rounded down; unused entries stay."""
+    return f"""
+book{n} AS MATERIALIZED (
+  SELECT b.m, b.e, coalesce(c.p, b.p) AS p FROM book{n - 1} b LEFT JOIN (
+    SELECT m, e, list(mean ORDER BY i) AS p FROM (
+      SELECT m, best.e AS e, i, floor(sum(p[i]) / count(*)) AS mean FROM near{n - 1}, unnest(range(1, len(p) + 1)) t(i) GROUP BY 1, 2, 3)
+    GROUP BY m, e) c ON c.m = b.m AND c.e = b.e)"""
+
+
+VECTOR_CODES = f"""
+WITH x AS MATERIALIZED {_integers(1024)},{_PARTS},{",".join(_nearest(n - 1) + "," + _book(n) for n in range(1, 5))},{_nearest(4)},
+coded AS MATERIALIZED (
+  SELECT vec_id, label, string_agg(lpad(lower(to_hex(best.e)), 2, '0'), '' ORDER BY m) AS code, sum(best.d)::BIGINT AS error
+  FROM near4 GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(p, lambda y: y::BIGINT), ','), ',' ORDER BY m, e)) FROM book4) AS codebooks_sha256
+FROM coded"""
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         sha256('42:' || doc_id) AS digest FROM documents),
+h AS (
+  SELECT *, len(units) AS n, list_transform(range(4), lambda g: list_sum(list_transform(range(8), lambda i:
+    (strpos('0123456789abcdef', digest[8 * g + i + 1]) - 1) * (16 ** (7 - i))::BIGINT))::BIGINT) AS h FROM d),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS one, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS two,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (
+  SELECT *, coalesce(array_to_string(units[1:one], ''), '') AS p, coalesce(array_to_string(units[one + 1:two], ''), '') AS m,
+         coalesce(array_to_string(units[two + 1:], ''), '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM s"""
