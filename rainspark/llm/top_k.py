@@ -31,7 +31,7 @@ from rainspark.llm import vectors
 from rainspark.session import materialise
 
 #: Rows of a block, blocks of a run, queries of a group: means of a hash, whatever the data.
-BLOCK, RUN, GROUP = 4096, 8, 64
+BLOCK, RUN, GROUP = 4096, 4, 256
 #: Entries of each list that the first round reads; every round reads to twice the depth.
 DEPTH = 8
 INDEX = "block long, rows int, ids binary, vectors binary, orders binary"
@@ -104,7 +104,7 @@ def index(rows: DataFrame, blocks: int) -> DataFrame:
     def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids = table["vec_id"].to_numpy()
         found = vectors.matrix(table["v"].combine_chunks())
-        orders = np.argsort(found.T, axis=1, kind="stable").astype(np.int32)
+        orders = np.argsort(found.T, axis=1, kind="stable").astype(places(len(ids)))
         return pa.table(
             {"block": pa.array([key[0].as_py()], pa.int64()), "rows": pa.array([len(ids)], pa.int32())}
             | {name: pa.array([x.tobytes()], pa.binary()) for name, x in (("ids", ids), ("vectors", found.astype(narrow(found))), ("orders", orders))}
@@ -118,13 +118,17 @@ def narrow(x: np.ndarray) -> type:
     return np.int16 if np.abs(x).max(initial=0) < 1 << 15 else np.float64
 
 
+def places(rows: int) -> type:
+    return np.uint16 if rows <= 1 << 16 else np.int32
+
+
 def lists_of(rows: int, ids: bytes, found: bytes, orders: bytes) -> Lists:
-    width = len(orders) // (4 * rows)
+    width = len(orders) // (np.dtype(places(rows)).itemsize * rows)
     kind = np.int16 if len(found) == 2 * rows * width else np.float64
     return Lists(
         np.frombuffer(ids, np.int64),
         np.frombuffer(found, kind).reshape(rows, width).astype(np.float64),
-        np.frombuffer(orders, np.int32).reshape(width, rows),
+        np.frombuffer(orders, places(rows)).reshape(width, rows),
     )
 
 
