@@ -211,5 +211,6 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no item."""
-    held = matches(docs, items).select(F.col("doc_key").alias("_doc_key")).distinct()
-    return docs.withColumn("_doc_key", text_key(F.col("text"))).join(held, "_doc_key", "left_anti").select(*docs.columns)
+    held = matches(docs.select("doc_id", "text"), items).select("doc_key").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(F.col("text")).alias("doc_key"))
+    return rows.join(held, "doc_key", "left_anti").select("row.*")

@@ -1,12 +1,13 @@
 """Jaccard join of documents on their word shingles, by universe partition and pigeonhole.
 
-The universe of shingles is partitioned by hash into cells, as many for each size band as one more
-than the largest symmetric difference two linked sets of the band can have. So two linked sets
+The universe of shingles is partitioned by hash into cells, more for each size band than the largest
+symmetric difference that two linked sets of the band can have. So two linked sets
 agree in a cell, or differ by one shingle in a pair of cells merged into one segment, which takes
 two differences to miss. A band indexes either every cell (exact segment subsets), or merged
 pairs with their one-deletion neighbourhoods; which one is chosen by cost: the pairs that exact cells would
-bring together, estimated on the first cell of every set, against the added entries. Pairs in a
-common bucket are verified on the whole sets.
+bring together, estimated on the first cell of every set, against the added entries. A set that occupies more cells than
+any linked set can differ in leaves out its empty cells: one of the occupied ones agrees. Pairs in a
+common bucket pass a test on parity bits, about as many as a set has shingles, and are verified on the whole sets.
 
 Equal sets are one item from the start. The members of a bucket are tested as links.connect says.
 
@@ -27,8 +28,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rainspark.llm import links, words
 from rainspark.session import materialise
 
-#: Sizes in a band differ by this factor at most. Parity words of a set, a filter before verification.
+#: Sizes in a band differ by this factor at most. Least parity words of a set, a filter before verification.
 GROWTH, PARITY = 1.5, 4
+#: Bits of the table of shared keys, of a fixed size; it only spares shuffle.
+KEY_BITS = 1 << 26
 ALL = (1 << 64) - 1
 
 
@@ -54,11 +57,29 @@ def groups_of(n: int, percent: int) -> tuple[int, ...]:
     return tuple(out)
 
 
+def furthest(n: int, other: int, percent: int) -> int:
+    """Largest symmetric difference of linked sets of these sizes."""
+    return (100 - percent) * (n + other) // (100 + percent)
+
+
 @functools.cache
 def cells_of(group: int, percent: int) -> int:
-    """One more than the largest symmetric difference of linked sets whose smaller one is in the band."""
+    """Cells for linked sets whose smaller one is in the band: more than they can differ in, and so many that about as
+    many are occupied."""
     small = lowest(group + 1) - 1
-    return (100 - percent) * (small + 100 * small // percent) // (100 + percent) + 1
+    needed = furthest(small, 100 * small // percent, percent) + 1
+    cells = needed
+    while cells * (1 - np.exp(-small / cells)) < needed and 4 * cells < 5 * needed:
+        cells += 1
+    return cells
+
+
+def indexed(occupied: np.ndarray, n: int, group: int, percent: int) -> np.ndarray:
+    """Cells that a set of n shingles indexes in a group. If it occupies no more cells than it can differ in from a linked
+    set, that set may agree with it in empty cells alone, and both then index them."""
+    largest = lowest(group + 1) - 1
+    most = furthest(n, 100 * n // percent if n <= largest else largest, percent)
+    return np.flatnonzero(occupied) if np.count_nonzero(occupied) > most else np.arange(len(occupied))
 
 
 def shingle_sets(texts: pa.Array, n: int, lower: bool) -> list[np.ndarray]:
@@ -103,41 +124,65 @@ def signatures(values: np.ndarray, percent: int, merged_groups: frozenset[int])
             found.append(keys(both[cell[mine] // 2] - code[mine], cell[mine] // 2, g, True))
             rest = np.arange(2 * pairs, m)
         else:
-            rest = np.arange(m)
+            rest = indexed(np.bincount(cell, minlength=m) > 0, len(values), g, percent)
         found.append(keys(total[rest], rest, g, False))
     return np.concatenate(found)
 
 
-def summary(values: np.ndarray) -> tuple[int, np.ndarray]:
-    """A hash of the set, and its parity words: bit i tells whether an odd number of shingles falls on it."""
+def name_of(values: np.ndarray) -> np.uint64:
+    """A hash of the set."""
+    return words.mix(np.array([words.mix(values ^ np.uint64(0x27D4EB2F165667C5)).sum(dtype=np.uint64) + np.uint64(len(values))], dtype=np.uint64))[0]
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    """Bit i tells whether an odd number of shingles falls on it. The number of words is a power of two, at least a bit for
+    each shingle, so that a longer row of words can be folded onto a shorter one."""
+    bits = 64 * PARITY
+    while bits < len(values):
+        bits *= 2
     code = words.mix(values ^ np.uint64(0x27D4EB2F165667C5))
-    name = words.mix(np.array([code.sum(dtype=np.uint64) + np.uint64(len(values))], dtype=np.uint64))[0]
-    odd = np.bincount((code >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-    return name, np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    odd = np.bincount((code >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def differing(x: str, y: str) -> Column:
+    """Bits in which the parity words of two sets differ: never more than the shingles in which the sets do."""
+    words_ = F.least(F.size(x), F.size(y))
+
+    def word(side: str, i: Column) -> Column:
+        folded = F.get(side, i).bitwiseXOR(F.get(side, i + words_))
+        return F.when(F.size(side) > words_, folded).otherwise(F.get(side, i))
+
+    return F.aggregate(F.sequence(F.lit(0), words_ - 1), F.lit(0), lambda n, i: n + F.bit_count(word(x, i).bitwiseXOR(word(y, i))))
 
 
 def set_table(docs: DataFrame, n: int, percent: int, lower: bool) -> DataFrame:
-    """doc_id, n, item, parity words, and the first bucket key of each group, for every row."""
+    """doc_id, n, item, parity words, and the first bucket key of each group that indexes its first cell, for every row."""
+
+    def first_key(s: np.ndarray, group: int) -> int | None:
+        m = cells_of(group, percent)
+        cell, _, total = cell_sums(s, group, m)
+        if 0 not in indexed(np.bincount(cell, minlength=m) > 0, len(s), group, percent)[:1]:
+            return None
+        return int(words.signed(keys(total[:1], np.zeros(1, np.int64), group, False))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batches):
             sets = shingle_sets(part.column("text"), n, lower)
-            size = np.array([len(s) for s in sets], dtype=np.int64)
-            about = [summary(s) for s in sets]
-            parity = np.stack([p for _, p in about])
-            groups, first = [], []
-            for s in sets:
-                g = groups_of(len(s), percent) if len(s) else ()
-                groups.append(list(g))
-                first.append([int(words.signed(keys(cell_sums(s, b, cells_of(b, percent))[2][:1], np.zeros(1, np.int64), b, False))[0]) for b in g])
+            groups = [list(groups_of(len(s), percent)) if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size), pa.array(words.signed(np.array([x for x, _ in about], dtype=np.uint64)))]
-                + [pa.array(words.signed(parity[:, i].copy())) for i in range(PARITY)]
-                + [pa.array(groups, pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "item", *[f"p{i}" for i in range(PARITY)], "groups", "first_keys"],
+                [
+                    part.column("doc_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(words.signed(np.array([name_of(s) for s in sets], dtype=np.uint64))),
+                    pa.array([parity(s) for s in sets], pa.list_(pa.int64())),
+                    pa.array(groups, pa.list_(pa.int32())),
+                    pa.array([[first_key(s, g) for g in own] for s, own in zip(sets, groups)], pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "n", "item", "odd", "groups", "first_keys"],
             )
 
-    schema = "doc_id long, n long, item long, " + ", ".join(f"p{i} long" for i in range(PARITY)) + ", groups array<int>, first_keys array<long>"
+    schema = "doc_id long, n long, item long, odd array<long>, groups array<int>, first_keys array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -145,7 +190,7 @@ def allocation(sets: DataFrame, percent: int) -> frozenset[int]:
     """Groups that index merged cells with one-deletion neighbourhoods, by cost. One row per group comes to
     the driver: as many as the logarithm of the longest text."""
     first = sets.where("n > 0").select("item", "n", F.explode(F.arrays_zip("groups", "first_keys")).alias("z")).select("item", "n", "z.groups", "z.first_keys").distinct()
-    buckets = first.groupBy("groups", "first_keys").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    buckets = first.groupBy("groups", "first_keys").agg(F.count("first_keys").alias("c"), F.sum("n").alias("n"))
     costs = buckets.groupBy("groups").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"), F.sum("n").alias("entries")).collect()
     return frozenset(r["groups"] for r in costs if r["pairs"] * cells_of(r["groups"], percent) > r["entries"])
 
@@ -153,18 +198,25 @@ def allocation(sets: DataFrame, percent: int) -> frozenset[int]:
 def bucket_members(docs: DataFrame, n: int, percent: int, lower: bool, merged: frozenset[int]) -> DataFrame:
     """key, item of every bucket that holds different sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in words.slices(batches):
-            # copies in this part count once
-            sets = {int(summary(s)[0]): s for s in shingle_sets(part.column("text"), n, lower) if len(s)}
-            found = [signatures(s, percent, merged) for s in sets.values()]
-            if found:
-                items = np.repeat(np.array(list(sets), dtype=np.uint64), [len(k) for k in found])
-                yield pa.RecordBatch.from_arrays([pa.array(words.signed(np.concatenate(found))), pa.array(words.signed(items))], names=["key", "item"])
+    def entries(wanted=None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in words.slices(batches):
+                # copies in this part count once
+                sets = {int(name_of(s)): s for s in shingle_sets(part.column("text"), n, lower) if len(s)}
+                found = [words.signed(signatures(s, percent, merged)) for s in sets.values()]
+                if wanted is not None:
+                    found = [k[links.may_hold(wanted.value, k, KEY_BITS)] for k in found]
+                if found:
+                    items = np.repeat(np.array(list(sets), dtype=np.uint64), [len(k) for k in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(words.signed(items))], names=["key", "item"])
+
+        return docs.where("doc_id is not null").select("text").mapInArrow(run, "key long, item long")
 
-    entries = docs.where("doc_id is not null").select("text").mapInArrow(run, "key long, item long")
-    shared = entries.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high")).where("low < high").select("key")
-    return entries.join(shared, "key").distinct()
+    shared = entries().groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high")).where("low < high").select("key")
+    shared = materialise(shared, "keys")
+    # the second time only entries whose key may be shared leave their task; the join decides
+    likely = docs.sparkSession.sparkContext.broadcast(links.filter_of(shared, "key", KEY_BITS))
+    return entries(likely).join(shared, "key").distinct()
 
 
 def most_different(x: str, y: str, percent: int) -> Column:
@@ -179,16 +231,14 @@ def components(docs: DataFrame, n: int, percent: int, lower: bool = True) -> Dat
     sets = materialise(set_table(docs, n, percent, lower), "sets")
     named = sets.where("n > 0 and doc_id is not null")
     items = materialise(
-        named.groupBy("item").agg(
-            F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.max("n").alias("n"), *[F.max(f"p{i}").alias(f"p{i}") for i in range(PARITY)]
-        ).withColumn("rank", F.shiftleft(F.least("copies", F.lit((1 << 22) - 1)), 40) + F.col("item").bitwiseAND((1 << 40) - 1)),
+        named.groupBy("item").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.max("n").alias("n"), F.any_value("odd").alias("odd"))
+        .withColumn("rank", F.shiftleft(F.least("copies", F.lit((1 << 22) - 1)), 40) + F.col("item").bitwiseAND((1 << 40) - 1)),
         "items",
     )
 
     def possible(x: str, y: str) -> Column:
-        differing = sum((F.bit_count(F.col(f"{x}p{i}").bitwiseXOR(F.col(f"{y}p{i}"))) for i in range(PARITY)), F.lit(0))
         sizes = 100 * F.least(F.col(f"{x}n"), F.col(f"{y}n")) >= percent * F.greatest(F.col(f"{x}n"), F.col(f"{y}n"))
-        return sizes & (differing <= most_different(x, y, percent))
+        return F.when(sizes, differing(f"{x}odd", f"{y}odd") <= most_different(x, y, percent)).otherwise(False)
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "pairs")
@@ -202,7 +252,7 @@ def components(docs: DataFrame, n: int, percent: int, lower: bool = True) -> Dat
             for b in batches:
                 for part in words.slices(iter([b.filter(pa.array(links.may_hold(likely.value, b.column("doc_id").to_numpy())))])):
                     found = shingle_sets(part.column("text"), n, lower)
-                    name = words.signed(np.array([summary(s)[0] for s in found], dtype=np.uint64))
+                    name = words.signed(np.array([name_of(s) for s in found], dtype=np.uint64))
                     yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([s.tobytes() for s in found], pa.binary())], names=["item", "shingles"])
 
         texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -224,7 +274,7 @@ def components(docs: DataFrame, n: int, percent: int, lower: bool = True) -> Dat
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
 
     members = bucket_members(docs, n, percent, lower, allocation(named, percent))
-    found = links.connect(members, items.select("item", "rank", "n", *[f"p{i}" for i in range(PARITY)]), possible, verify)
+    found = links.connect(members, items.select("item", "rank", "n", "odd"), possible, verify)
     # rows of one doc_id with different texts are one document
     several = named.groupBy("doc_id").agg(F.min("item").alias("a"), F.max("item").alias("b")).where("a < b")
     several = named.join(several.select("doc_id", "a"), "doc_id").where("item <> a").select("a", F.col("item").alias("b"))

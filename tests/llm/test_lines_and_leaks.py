@@ -5,6 +5,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -198,11 +201,35 @@ def test_leaks_of_odd_texts(spark):
     assert decontamination.clean(frame(spark, docs).limit(0), none).count() == 0
 
 
+def similar_lines(distinct):
+    """All pairs of at least 80 percent edit similarity. An edit changes the counts of characters by one each way at most,
+    which spares most of the distances."""
+    letters = sorted({c for x in distinct for c in x})
+    at = {c: i for i, c in enumerate(letters)}
+    counts = np.zeros((len(distinct), len(letters)), dtype=np.int32)
+    for i, x in enumerate(distinct):
+        for c in x:
+            counts[i, at[c]] += 1
+    length = counts.sum(1)
+    pairs = []
+    for i in range(len(distinct)):
+        longest = np.maximum(length[i], length[i + 1 :])
+        more = np.maximum(counts[i] - counts[i + 1 :], 0).sum(1)
+        fewer = np.maximum(counts[i + 1 :] - counts[i], 0).sum(1)
+        pairs += [(i, i + 1 + int(j)) for j in np.flatnonzero(5 * np.maximum(more, fewer) <= longest)]
+    con = duckdb.connect()
+    con.register("lines", pa.table({"i": range(len(distinct)), "line": distinct}))
+    con.register("pairs", pa.table({"x": [p[0] for p in pairs], "y": [p[1] for p in pairs]}))
+    found = con.execute(
+        "SELECT x, y FROM pairs JOIN lines a ON a.i = x JOIN lines b ON b.i = y WHERE 5 * levenshtein(a.line, b.line) <= greatest(length(a.line), length(b.line))"
+    ).fetchall()
+    return [(distinct[x], distinct[y]) for x, y in found]
+
+
 def brute_similar_lines(rows):
     """doc_id -> text and the links, by edit similarity alone."""
     distinct = sorted({normal(x) for _, t in rows for x in t.split("\n")} - {""})
-    near = lambda a, b: 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * distance(a, b) <= max(len(a), len(b))
-    links = [(a, b) for a, b in itertools.combinations(distinct, 2) if near(a, b)]
+    links = similar_lines(distinct)
     root = {x: x for x in distinct}
 
     def find(x):
