@@ -25,16 +25,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-equal lines the first stays; a document that loses all its words goes."""
-    found = line_dedup.dedup(docs, line_dedup.by_sketch)
+    found = line_dedup.cleaned(docs, line_dedup.by_sketch)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return found.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return found.where(~emptied).select(*[made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents connected by similar shingle sets the one with the smallest doc_id stays."""
-    found = jaccard_join.components(docs, SHINGLE, PERCENT)
-    later = found.where("component_id < doc_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti").select(*docs.columns)
+    found = jaccard_join.components(docs.select("doc_id", "text"), SHINGLE, PERCENT)
+    later = found.where("component_id < doc_id").select(F.col("doc_id").alias("later")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("later"))
+    return rows.join(later, "later", "left_anti").select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
