@@ -146,45 +146,57 @@ def vocabulary(vocabulary_file: str) -> Bpe:
     return Bpe(vocabulary_file)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], vocabulary_file: str) -> Iterator[pa.RecordBatch]:
+    """doc_id and ids of batches of doc_id and text."""
+    bpe = vocabulary(vocabulary_file)
+    for part in words.slices(batches):
+        ids = [bpe.encode(t) if t else np.zeros(0, np.int32) for t in part.column("text").to_pylist()]
+        offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))],
+            names=["doc_id", "ids"],
+        )
+
+
+def decoded(batches: Iterator[pa.RecordBatch], vocabulary_file: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids, text and decimals of batches of doc_id and ids."""
+    bpe = vocabulary(vocabulary_file)
+    for batch in batches:
+        lists = batch.column("ids")
+        for i in range(0, batch.num_rows, 64):
+            part = lists.slice(i, 64)
+            bounds = part.offsets.to_numpy()
+            ids = part.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
+            bounds = bounds - bounds[0]
+            columns = []
+            for table, tail in ((bpe.strings, 0), (bpe.decimals, 1)):
+                data, ends = table.joined(ids)
+                cuts = np.concatenate([[0], ends])[bounds]
+                raw = data.tobytes()
+                columns.append([raw[a : max(a, b - tail)].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(i, 64), part, *(pa.array(c, pa.string()) for c in columns)],
+                names=["doc_id", "ids", "text", "decimals"],
+            )
+
+
 def encode(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     """docs(doc_id, text) as doc_id, ids."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(lambda b: encoded(b, vocabulary_file), f"doc_id {kind}, ids array<int>")
+
+
+def decode(encoded_docs: DataFrame, vocabulary_file: str) -> DataFrame:
+    """encoded_docs(doc_id, ids) with `text`, the decoded text, and `decimals`, the ids joined by commas."""
+    kind = encoded_docs.schema["doc_id"].dataType.simpleString()
+    return encoded_docs.select("doc_id", "ids").mapInArrow(
+        lambda b: decoded(b, vocabulary_file), f"doc_id {kind}, ids array<int>, text string, decimals string"
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(vocabulary_file)
-        for part in words.slices(batches):
-            ids = [bpe.encode(t) if t else np.zeros(0, np.int32) for t in part.column("text").to_pylist()]
-            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))],
-                names=["doc_id", "ids"],
-            )
 
+def round_trip(docs: DataFrame, vocabulary_file: str) -> DataFrame:
+    """decode(encode(docs)) in one worker for each task, with one vocabulary in memory."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
-
-
-def decode(encoded: DataFrame, vocabulary_file: str) -> DataFrame:
-    """encoded(doc_id, ids) with `text`, the decoded text, and `decimals`, the ids joined by commas."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(vocabulary_file)
-        for batch in batches:
-            lists = batch.column("ids")
-            for i in range(0, batch.num_rows, 64):
-                part = lists.slice(i, 64)
-                bounds = part.offsets.to_numpy()
-                ids = part.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
-                bounds = bounds - bounds[0]
-                columns = []
-                for table, tail in ((bpe.strings, 0), (bpe.decimals, 1)):
-                    data, ends = table.joined(ids)
-                    cuts = np.concatenate([[0], ends])[bounds]
-                    raw = data.tobytes()
-                    columns.append([raw[a : max(a, b - tail)].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, 64), part, *(pa.array(c, pa.string()) for c in columns)],
-                    names=["doc_id", "ids", "text", "decimals"],
-                )
-
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string, decimals string")
+    return docs.select("doc_id", "text").mapInArrow(
+        lambda b: decoded(encoded(b, vocabulary_file), vocabulary_file), f"doc_id {kind}, ids array<int>, text string, decimals string"
+    )
