@@ -46,8 +46,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text that the ids decode to."""
-    vocabulary = public_tokenizers.path(VOCABULARY)
-    decoded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    decoded = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
