@@ -14,7 +14,7 @@ from rainspark.operators import (
     bias, diagnostics, disaggregation, gumbel, kriging, mapping, polygons, raster, serving, sherman,
 )
 from rainspark.operators.neighbours import nearest_k
-from rainspark.plans import bias_correction, idf_fit
+from rainspark.plans import bias_correction, gauges_to_idf, idf_fit
 from rainspark.sources import rasters
 
 RC = 'r AS "row", c AS col'
@@ -406,6 +406,29 @@ def parameter_table(spark, d):
     return _param_round(rounded(table, "KS_D", "KS_p", "AMD_mean", "AMD_std"))
 
 
+def _from_gauges(spark, d, method, k):
+    return gauges_to_idf.parameters_from_gauges(
+        t.gauge_daily(spark, d), t.stations(spark, d), t.product_daily(spark, d), t.COARSE,
+        t.fine_amax(spark, d), _located(spark, d), t.FINE, t.dated_products(spark), method=method, k=k,
+        boundary=t.domain(spark, d), station_ratios=t.station_table(spark, d),
+        vectors=disaggregation.ratio_vectors(t.ratio_cells(spark, d)),
+    ).select("product", "bias", "disagg", "row", "col", *PARAMETER_BANDS)
+
+
+@case("idf_from_gauges", f"""
+SELECT product, bias, disagg, {RC}, {PARAM_SQL}, {q6('ks_d')} AS KS_D, {q6('ks_p')} AS KS_p, ks_reject AS KS_reject,
+       {q6('m')} AS AMD_mean, {q6('s')} AS AMD_std, n AS Nyears FROM v_final_gauges""")
+def idf_from_gauges(spark, d):
+    """Gauges to factors, masked surface, corrected maxima and parameters, in the years of each product."""
+    return _param_round(rounded(_from_gauges(spark, d, "idw", 8), "KS_D", "KS_p", "AMD_mean", "AMD_std"))
+
+
+@case("idf_from_gauges_kriged")
+def idf_from_gauges_kriged(spark, d):
+    """The same with ordinary kriging. No SQL: a linear system per cell; see the chain's tests."""
+    return _from_gauges(spark, d, "ok", 8)
+
+
 @case("parameter_bands_by_position", f"""
 SELECT product, bias, {RC}, {q6('k', 3)} AS K, {q6('a')} AS a, {q6('b', 4)} AS b, {q6('cc')} AS c
 FROM v_params WHERE disagg = 'CETESB' AND k IS NOT NULL""")

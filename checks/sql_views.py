@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from checks.tables import FACTORS, STATE_NAMES
 from rainspark.grid import CETESB_FACTORS, DURATIONS_MIN, RETURN_PERIODS
 from rainspark.operators.sherman import COARSE, FINE, passes
@@ -341,3 +343,22 @@ SELECT product, r, c, least(greatest(sum(w * zeta) / sum(w), 0.25e0), 10e0) AS z
          row_number() OVER (PARTITION BY z.product, k.r, k.c ORDER BY
            (k.lon - z.lon) * (k.lon - z.lon) + (k.lat - z.lat) * (k.lat - z.lat), z.station_id) AS rank
   FROM v_cells k, v_zeta z) WHERE rank <= 8 GROUP BY product, r, c"""
+
+
+# from gauges to the fit: the years and bias options of each product, factors inside every other area ------------
+VIEWS["v_windowed"] = """
+SELECT product, r, c, y, mm FROM v_amax JOIN (VALUES ('XAVIER', 1990), ('IMERG', 1996), ('CHIRPS', 1990), ('PERS', 1990)) w(product, y0)
+USING (product) WHERE y BETWEEN y0 AND 2000"""
+
+VIEWS["v_amax_both_gauges"] = """
+SELECT product, 'RAW' AS bias, r, c, y, mm FROM v_windowed
+UNION ALL
+SELECT a.product, 'BC', a.r, a.c, a.y, least(a.mm * least(greatest(z.zeta, 0.25e0), 5e0), 500e0)
+FROM v_windowed a JOIN v_surface z ON z.product = a.product AND z.r = a.r AND z.c = a.c
+JOIN v_cells k ON k.r = a.r AND k.c = a.c
+WHERE a.product <> 'PERS' AND EXISTS (
+  SELECT 1 FROM v_areas s WHERE s.poly_id % 2 = 0 AND k.lon >= s.x1 AND k.lon < s.x2 AND k.lat >= s.y1 AND k.lat < s.y2)"""
+
+_CHAIN = ("v_stats", "v_ks", "v_ksp", "v_quant", "v_slope", "v_params0", "v_quality", "v_params", "v_good", "v_borrow", "v_final")
+for _name in _CHAIN:
+    VIEWS[f"{_name}_gauges"] = re.sub(rf"\b({'|'.join(('v_amax_both', *_CHAIN))})\b", r"\1_gauges", VIEWS[_name])

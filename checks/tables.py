@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rainspark.grid import CETESB_FACTORS, DURATIONS_MIN, Grid
 from rainspark.operators.polygons import rectangle
 from rainspark.session import materialise
+from rainspark.sources.products import product_config
 
 COARSE = Grid(-73.0, 5.0, 9.5, 9.5, 4, 4)
 FINE = Grid(-73.0, 5.0, 0.38, 0.19, None, 100)
@@ -233,3 +234,16 @@ def station_pairs_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gauge_daily(spark, sf_dir).join(placed, "code").join(
         one, ["date", "row", "col"], "left"
     ).select("code", "date", "pr_p", "pr_g")
+
+
+def dated_products(spark: SparkSession) -> DataFrame:
+    """The product configuration four years earlier and up to 2000, as the given tables cover 1995 to 2001; PERS raw only."""
+    biases = F.when(F.col("product") == "PERS", F.array(F.lit("RAW"))).otherwise(F.col("biases"))
+    return product_config(spark).select(
+        "product", (F.col("first_year") - 4).alias("first_year"), (F.col("last_year") - 24).alias("last_year"), biases.alias("biases")
+    )
+
+
+def domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other rectangle of the areas, as a boundary."""
+    return areas(spark, sf_dir).filter("poly_id % 2 = 0")

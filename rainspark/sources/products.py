@@ -23,6 +23,16 @@ def product_config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*p[:7], list(p[7])) for p in PRODUCTS], SCHEMA)
 
 
+def in_years(df: DataFrame, products: DataFrame, year: str = "year") -> DataFrame:
+    """Rows of `df` (product, `year`, ...) in the years of their product, both ends included.
+
+    Products that are not configured go. One equality on the product with a range on the year.
+    """
+    windows = products.select(F.col("product").alias("_product"), "first_year", "last_year")
+    inside = (F.col("product") == F.col("_product")) & F.col(year).between(F.col("first_year"), F.col("last_year"))
+    return df.join(windows, inside, "left_semi")
+
+
 def availability(products: DataFrame) -> DataFrame:
     """Years and bias options of each product as display text."""
     return products.select(
