@@ -6,7 +6,12 @@ are taken together in blocks. A block walks down the tree: at every level the k-
 "farthest corner" distance of its tiles bounds the k-th neighbour, and tiles that begin beyond the
 bound are dropped. A block that still looks at many points is split along with its tiles, so that crowds of
 queries at crowds of points end in small blocks. What is left is a short list of small tiles per
-block, whose points are ranked for every query row. No pair of query and point is ever shuffled, and the result is exact.
+block, whose points are ranked for every query row.
+
+A query row learns its block and its share of that block from a table of keys, and then moves
+once, to the candidates of its share; a block has as many shares as its counted queries ask for.
+Tiles are split until they hold few places, however near those are. No pair of query and point is ever
+shuffled, and the result is exact.
 """
 
 from __future__ import annotations
@@ -20,9 +25,10 @@ from rainspark.functions.series import let
 from rainspark.session import materialise
 
 LEAF = 32          # points a tile may hold before it is split
-MAX_LEVEL = 10     # 4^10 tiles per axis
+STEP = 4           # levels that are counted at a time where tiles are still crowded
+MAX_LEVEL = 25     # 4^25 tiles per axis: a tile is as small as doubles of the frame's size can tell apart
 FEW = 96           # candidates a block may keep without being split further
-SALTS = 8          # shares of a block's queries
+SHARE = 2048       # queries of a block that are ranked together
 SLACK = 1 + 1e-9   # keeps rounding from dropping a tile that touches the bound
 
 TILE = "struct<level:int,tx:bigint,ty:bigint,n:bigint,x1:double,x2:double,y1:double,y2:double>"
@@ -59,7 +65,7 @@ def _prune(tiles: Column, k: int) -> Column:
             + _gap2(F.col("by1"), F.col("by2"), t["y1"], t["y2"])
         )
 
-    by_span = F.array_sort(
+    by_span = F.sort_array(
         F.transform(tiles, lambda t: F.struct(span(t).alias("d"), t["n"].alias("n")))
     )
     bound = F.aggregate(
@@ -86,7 +92,6 @@ def nearest_k(
     `group`, neighbours come from the same group only (groups must be non-NULL). Queries of a
     group without points get an empty list.
     """
-    spark = queries.sparkSession
     g = list(group)
     named = [*tie, *[c for c in payload if c not in tie]]
     at_place = W.partitionBy(*g, "_x", "_y").orderBy(*tie)
@@ -116,7 +121,7 @@ def nearest_k(
 
     # query blocks are tiles of the same tree; a block is split with the tiles it looks at until
     # few enough candidates are left
-    places = queries.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+    places = queries.dropna(subset=[x, y]).select(
         *g, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
     blocks = materialise(_coarser(_counted(places, g, depth, x0, y0, side), g, 0, depth), "blocks")
@@ -159,8 +164,12 @@ def nearest_k(
         .select(*block, F.col("t.level").alias("_l"), F.col("t.tx").alias("_tx"), F.col("t.ty").alias("_ty"))
         .join(leaves, [*g, "_l", "_tx", "_ty"], "left")
         .groupBy(*block).agg(F.flatten(F.collect_list("pts")).alias("_near"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
+    counts = blocks.select(
+        *g, F.col("level").alias("_bl"), F.col("tx").alias("_bx"), F.col("ty").alias("_by"),
+        F.ceil(F.col("n") / SHARE).cast("int").alias("_shares"),
+    )
+    near = materialise(near.join(counts, block), "near")
 
     def ranked(p: Column, i: Column) -> Column:
         dx, dy = F.col(x) - p["_x"], F.col(y) - p["_y"]
@@ -168,7 +177,7 @@ def nearest_k(
 
     # only distance, tie and place in the list are ordered; the payload is looked up afterwards
     order = F.transform("_near", ranked)
-    top = F.array(F.array_min(order)) if k == 1 else F.slice(F.array_sort(order), 1, k)
+    top = F.array(F.array_min(order)) if k == 1 else F.slice(F.sort_array(order), 1, k)
     best = F.transform(
         top,
         lambda m: F.struct(
@@ -176,25 +185,29 @@ def nearest_k(
         ),
     )
     empty = F.from_json(F.lit("[]"), f"array<struct<{kind}>>")
-    # ranking is the costly part: spread the queries over all tasks, those of one block as well
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ways = F.array(*[
-        F.struct(
-            F.lit(v).alias("l"), _tile(F.col(x), x0, side, v).alias("x"), _tile(F.col(y), y0, side, v).alias("y")
-        )
-        for v in range(depth + 1)
-    ])
+    # a place lies in exactly one finished block, at one of its levels: the deepest tiles are looked up, not the rows
+    tile = [*g, "_fx", "_fy"]
+    above = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+    shift = F.pow(F.lit(4.0), F.lit(depth) - F.col("_bl"))
+    lookup = (
+        blocks.filter(F.col("level") == depth).select(*g, F.col("tx").alias("_fx"), F.col("ty").alias("_fy"), above.alias("_bl"))
+        .withColumn("_bx", F.floor(F.col("_fx") / shift)).withColumn("_by", F.floor(F.col("_fy") / shift))
+        .join(near.select(*block, "_shares"), block).select(*tile, "_bl", "_bx", "_by", "_shares")
+    )
+    lookup = materialise(lookup, "lookup")
+    located = F.col(x).isNotNull() & F.col(y).isNotNull()
     asked = (
-        queries.repartition(width)
-        .withColumn("_salt", F.pmod(F.xxhash64(*queries.columns), F.lit(SALTS)).cast("int"))
-        .withColumn("_located", F.col(x).isNotNull() & F.col(y).isNotNull())
-        .withColumn("_w", F.explode(F.when(F.col("_located"), ways).otherwise(F.slice(ways, 1, 1))))
-        .withColumn("_bl", F.when(F.col("_located"), F.col("_w.l"))).withColumn("_bx", F.col("_w.x")).withColumn("_by", F.col("_w.y"))
+        queries.withColumn("_fx", F.when(located, _tile(F.col(x), x0, side, depth)))
+        .withColumn("_fy", F.when(located, _tile(F.col(y), y0, side, depth)))
+        .join(lookup, tile, "left")
+        .withColumn("_share", F.pmod(F.xxhash64(*queries.columns), F.col("_shares")).cast("int"))
     )
-    # a located query lies in exactly one finished block, at one of its levels
-    matched = asked.join(near, [*block, "_salt"], "left").filter(F.col("_near").isNotNull() | ~F.col("_located"))
-    some = F.size("_near") > 0
-    return matched.select(*queries.columns, F.when(some, best).otherwise(empty).alias("neighbours"))
+    shares = near.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).select(*block, "_share", "_near")
+    # ranking is the costly part: the rows are dealt by share, also where the candidates could be sent everywhere
+    matched = asked.join(shares.hint("merge"), [*block, "_share"], "left")
+    found = F.when(F.size("_near") > 0, best).otherwise(empty)
+    # a generator is computed once, while a filter on what is made from the list would be computed below it again
+    return matched.select(*queries.columns, F.explode(F.array(found)).alias("neighbours"))
 
 
 def _even_level(count: float) -> int:
@@ -230,19 +243,21 @@ def _tile_tree(pts: DataFrame, g: list[str], even: int, x0: float, y0: float, si
     """Split tiles with the counts and extents of their children, and the depth of the tree.
 
     Most places need no level below that of an even spread; only the points of tiles that are
-    still crowded there are counted further down.
+    still crowded there are counted further down, some levels at a time.
     """
-    even = min(even + 1, MAX_LEVEL)
-    base = materialise(_counted(pts, g, even, x0, y0, side), "tiles")
-    tiles = _coarser(base, g, 1, even)
+    level = min(even + 1, MAX_LEVEL)
+    base = materialise(_counted(pts, g, level, x0, y0, side), "tiles")
+    tiles = _coarser(base, g, 1, level)
     crowded = base.filter(F.col("n") > LEAF)
-    if even < MAX_LEVEL and not crowded.isEmpty():
-        here = pts.withColumn("fx", _tile(F.col("_x"), x0, side, even)).withColumn(
-            "fy", _tile(F.col("_y"), y0, side, even)
+    while level < MAX_LEVEL and not crowded.isEmpty():
+        here = pts.withColumn("fx", _tile(F.col("_x"), x0, side, level)).withColumn(
+            "fy", _tile(F.col("_y"), y0, side, level)
         )
-        crowd = here.join(crowded.select(*g, "fx", "fy"), [*g, "fx", "fy"], "left_semi")
-        deep = _counted(crowd.drop("fx", "fy"), g, MAX_LEVEL, x0, y0, side)
-        tiles = tiles.unionByName(_coarser(deep, g, even + 1, MAX_LEVEL))
+        pts = here.join(crowded.select(*g, "fx", "fy"), [*g, "fx", "fy"], "left_semi").drop("fx", "fy")
+        deeper = min(level + STEP, MAX_LEVEL)
+        deep = materialise(_counted(pts, g, deeper, x0, y0, side), "tiles")
+        tiles = tiles.unionByName(_coarser(deep, g, level + 1, deeper))
+        level, crowded = deeper, deep.filter(F.col("n") > LEAF)
     child = F.struct("level", "tx", "ty", "n", "x1", "x2", "y1", "y2").cast(TILE)
     nodes = (
         tiles.groupBy(

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rainspark.operators import neighbours
 from rainspark.operators.neighbours import nearest_k
@@ -61,3 +62,39 @@ def test_no_cross_join_in_the_plan(spark):
     plan = nearest_k(p.withColumnRenamed("code", "id"), p, 2, tie=["code"])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert neighbours.LEAF < 500
+
+
+def test_crowd_far_smaller_than_the_frame(spark):
+    """All places but one lie within a millionth of a millionth of the frame."""
+    rng = np.random.default_rng(9)
+    x, y = 500 + rng.integers(0, 60, 700) * 1e-9, 500 + rng.integers(0, 60, 700) * 1e-9
+    p = pd.DataFrame({"x": [*x, 1000.0], "y": [*y, 0.0], "code": [f"{i:04d}" for i in range(701)], "g": "a"})
+    q = pd.DataFrame({"id": range(300), "x": [*x[:200], *rng.uniform(0, 1000, 100)], "y": [*y[:200], *rng.uniform(0, 1000, 100)], "g": "a"})
+    rows = nearest_k(spark.createDataFrame(q), spark.createDataFrame(p), 3, tie=["code"], group=["g"]).collect()
+    want = brute(q, p, 3)
+    assert len(rows) == len(q) and all([(m.d2, m.code) for m in r.neighbours] == want[r.id] for r in rows)
+
+
+def test_query_rows_move_once(spark):
+    rng = np.random.default_rng(1)
+    p = spark.createDataFrame(pd.DataFrame({"x": rng.uniform(0, 9, 500), "y": rng.uniform(0, 9, 500), "code": range(500)}))
+    q = p.withColumnRenamed("code", "id").selectExpr("*", "repeat('payload', 20) AS payload")
+    plan = nearest_k(q, p, 2, tie=["code"])._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange RoundRobin" in line]
+    assert len(moved) == 2 and sum("_share" in line for line in moved) == 2  # the rows, and the candidates
+
+
+def test_queries_of_one_place_are_shared_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARE", 10)
+    rng = np.random.default_rng(2)
+    p = pd.DataFrame({"x": rng.uniform(0, 9, 200), "y": rng.uniform(0, 9, 200), "code": [f"{i:03d}" for i in range(200)], "g": "a"})
+    q = pd.DataFrame({"id": range(600), "x": [4.5] * 500 + list(rng.uniform(0, 9, 100)), "y": [4.5] * 500 + list(rng.uniform(0, 9, 100)), "g": "a"})
+    found = nearest_k(spark.createDataFrame(q), spark.createDataFrame(p), 2, tie=["code"], group=["g"])
+    want = brute(q, p, 2)
+    assert all([(m.d2, m.code) for m in r.neighbours] == want[r.id] for r in found.collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = found.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in parts) < 300
