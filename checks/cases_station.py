@@ -107,8 +107,8 @@ WHERE date BETWEEN DATE '1995-02-01' AND DATE '2001-11-30' AND code IN (
   SELECT code FROM v_gauge WHERE date BETWEEN DATE '1995-02-01' AND DATE '2001-11-30'
   GROUP BY code HAVING count(*) >= 474) GROUP BY 1, 2""")
 def annual_max_of_covered_stations(spark, d):
-    kept = calendar.covered_only(t.gauge_daily(spark, d), "1995-02-01", "2001-11-30", 1.3)
-    return calendar.annual_max(kept).drop("date_of_max")
+    found = calendar.covered_annual_max(t.gauge_daily(spark, d), "1995-02-01", "2001-11-30", 1.3)
+    return found.drop("date_of_max", "n_days")
 
 
 @case("annual_max_grid", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rainspark.sources.daily import crop_period
 
@@ -36,12 +36,39 @@ def covered_only(daily: DataFrame, start: str, end: str, min_years: float) -> Da
     return crop_period(daily, start, end).join(keep, "code", "left_semi")
 
 
+def covered_annual_max(
+    daily: DataFrame, start: str, end: str, min_years: float, stations: DataFrame | None = None
+) -> DataFrame:
+    """(code, year, max_mm, date_of_max, n_days): maxima of the stations that pass `coverage`, in the window.
+
+    Maxima and valid days are taken together in one reading of the series; what is summed over a
+    station's years are its few station-years. With `stations`, the series of others are dropped
+    before anything is counted.
+    """
+    window = crop_period(daily, start, end)
+    if stations is not None:
+        window = _of_stations(window, stations)
+    ranked = F.when(F.col("pr_g").isNotNull(), F.struct(-F.col("pr_g"), F.col("date")))
+    years = window.groupBy("code", F.year("date").alias("year")).agg(
+        F.max("pr_g").alias("max_mm"), F.min_by("date", ranked).alias("date_of_max"), F.count("pr_g").alias("n")
+    )
+    total = F.sum("n").over(W.partitionBy("code"))
+    return (
+        years.withColumn("n_days", total)
+        .filter((F.col("n_days") >= int(min_years * DAYS_PER_YEAR)) & F.col("max_mm").isNotNull()).drop("n")
+    )
+
+
+def _of_stations(daily: DataFrame, stations: DataFrame) -> DataFrame:
+    return daily.join(stations.select("code").distinct(), "code", "left_semi")
+
+
 def first_with_coverage(
     stations: DataFrame, daily: DataFrame, start: str, end: str, min_years: float,
     order: Sequence[str],
 ) -> DataFrame:
-    """The first listed station that qualifies (one row, or none)."""
-    good = coverage(daily, start, end, min_years)
+    """The first listed station that qualifies (one row, or none). Only listed stations are counted."""
+    good = coverage(_of_stations(daily, stations), start, end, min_years)
     return stations.join(good, "code").orderBy(*order).limit(1)
 
 
