@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -17,12 +18,36 @@ PREFERRED_METADATA = (
 )
 
 
-def read_inventory(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding): 'UTF-8' for each file whose lines are all valid UTF-8, else 'ISO-8859-1'.
+
+    Lines are taken as bytes, so one reading with one aggregate per file decides.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    encoding = F.when(F.bool_and("valid"), "UTF-8").otherwise("ISO-8859-1")
+    return lines.groupBy("file").agg(encoding.alias("encoding"))
+
+
+def read_inventory(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """CSV inventory with every column as text, so that codes keep their zeros.
 
-    Pass encoding='ISO-8859-1' for latin-1 files.
+    Without `encoding` every file of the folder is read as UTF-8 if it is valid UTF-8, and as
+    latin-1 otherwise; the driver sees the names of the files. A byte order mark is dropped.
     """
-    raw = spark.read.option("header", True).option("encoding", encoding).csv(path)
+    def read(files: str | list[str], name: str) -> DataFrame:
+        raw = spark.read.option("header", True).option("encoding", name).csv(files)
+        return raw.toDF(*[c.removeprefix("\ufeff") for c in raw.columns])
+
+    if encoding is not None:
+        return require_columns(read(path, encoding), {"Code", "Latitude", "Longitude"}, "inventory")
+    files: dict[str, list[str]] = {}
+    for r in file_encodings(spark, path).collect():
+        files.setdefault(r["encoding"], []).append(unquote(r["file"]))
+    if len(files) < 2:
+        raw = read(path, next(iter(files), "UTF-8"))
+    else:
+        parts = [read(sorted(files[name]), name) for name in sorted(files)]
+        raw = parts[0].unionByName(parts[1], allowMissingColumns=True)
     return require_columns(raw, {"Code", "Latitude", "Longitude"}, "inventory")
 
 

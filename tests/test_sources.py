@@ -164,3 +164,14 @@ def test_knots_at_one_place_give_null(spark):
     df = spark.createDataFrame([([1.0, 1.0, 2.0], [1.0, 2.0, 3.0], 1.5), ([1.0, 2.0], [1.0, 3.0], 1.5)], "p array<double>, g array<double>, x double")
     got = df.select(series.hermite_with_linear_tails(F.col("x"), F.col("p"), F.col("g"), series.pchip_slopes(F.col("p"), F.col("g"))))
     assert [r[0] for r in got.collect()] == [None, 2.0]
+
+
+def test_each_file_is_read_in_its_own_encoding(spark, tmp_path):
+    rows = "Code,Name,Latitude,Longitude\n00012,São José,-1.5,-50\n"
+    (tmp_path / "a b.csv").write_bytes(rows.encode("latin-1"))
+    (tmp_path / "c%41.csv").write_bytes(("\ufeff" + rows.replace("00012", "00013").replace("José", "João")).encode())
+    (tmp_path / "plain.csv").write_bytes(b"Code,Name,Latitude,Longitude\n00014,Ipe,0,-49\n")
+    kinds = {r.file.rsplit("/", 1)[1]: r.encoding for r in inventory.file_encodings(spark, str(tmp_path)).collect()}
+    assert sorted(kinds.values()) == ["ISO-8859-1", "UTF-8", "UTF-8"]
+    got = {(r.Code, r.Name) for r in inventory.read_inventory(spark, str(tmp_path)).collect()}
+    assert got == {("00012", "São José"), ("00013", "São João"), ("00014", "Ipe")}
