@@ -20,6 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rainspark.llm import words
+from rainspark.session import materialise
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 LIMIT = 4096
@@ -69,10 +70,12 @@ def token_counts(docs: DataFrame, cache_path: str, model_file: str, limit: int =
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     fill_cache(keyed.select("digest", "text"), cache_path, model_file)
-    counts = open_cache(spark, cache_path).where(F.col("tokenizer") == tokenizer_version(model_file))
+    counts = open_cache(spark, cache_path).where(F.col("tokenizer") == tokenizer_version(model_file)).select("digest", "n_tokens")
+    # written out, the rows of a text that a third of all rows hold can be split over tasks in the join
+    counts = materialise(counts, "counts")
     return (
         keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-        .join(counts.select("digest", "n_tokens"), "digest")
+        .join(counts, "digest")
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
 
