@@ -114,6 +114,11 @@ SELECT product, r, c, {cols}, avg(zeta) FILTER (rank <= {k}) AS mean, min(d) AS
   FROM v_cells k, v_zeta z WHERE z.zeta BETWEEN 0.05 AND 10) GROUP BY product, r, c"""
 
 
+def _between(i, j):
+    """Distance of the i-th and j-th nearest point."""
+    return f"sqrt((lon{i} - lon{j}) * (lon{i} - lon{j}) + (lat{i} - lat{j}) * (lat{i} - lat{j}))"
+
+
 def _gamma(x):
     """Spherical model with sill 2, range 15 and nugget 0.1."""
     return f"(CASE WHEN {x} <= 0 THEN 0e0 WHEN {x} >= 15 THEN 2.1e0 ELSE 0.1e0 + 2e0 * (1.5e0 * {x} / 15e0 - 0.5e0 * pow({x} / 15e0, 3)) END)"
@@ -141,6 +146,34 @@ def kriging_pure_nugget(spark, d):
     return z.filter("zeta IS NOT NULL").select("product", "row", "col", r6("zeta").alias("zeta"))
 
 
+@case("kriging_three_points", f"""
+SELECT product, {RC}, {q6('w1 * zeta1 + w2 * zeta2 + (1 - w1 - w2) * zeta3')} AS zeta FROM (
+  SELECT *, (u * e - b * v) / (a * e - b * b) AS w1, (a * v - b * u) / (a * e - b * b) AS w2 FROM (
+    SELECT *, -2e0 * g13 AS a, g12 - g23 - g13 AS b, -2e0 * g23 AS e, g1 - g3 - g13 AS u, g2 - g3 - g23 AS v FROM (
+      SELECT *, {_gamma('d1')} AS g1, {_gamma('d2')} AS g2, {_gamma('d3')} AS g3,
+             {_gamma(_between(1, 2))} AS g12, {_gamma(_between(1, 3))} AS g13, {_gamma(_between(2, 3))} AS g23
+      FROM ({_ranked_zetas(3)}))))""")
+def kriging_three_points(spark, d):
+    """Three neighbours: two of the weights by elimination."""
+    points = bias.interpolation_points(_zetas(spark, d))
+    fitted = {(p,): kriging.Variogram("spherical", 2.0, 15.0, 0.1) for p, _ in t.FACTORS}
+    z = kriging.local_kriging(points, _product_cells(spark, d), 3, groups=["product"], fitted=fitted)
+    return z.filter("zeta IS NOT NULL").select("product", "row", "col", r6("zeta").alias("zeta"))
+
+
+@case("variogram_to_largest_lag", f"""
+SELECT product, CAST(lag AS INTEGER) AS lag, {q6('avg(d)')} AS d_mean, {q6('avg(g)')} AS gamma, count(*) AS n_pairs FROM (
+  SELECT product, d, g, least(floor(d / (6e0 / 12e0)), 11) AS lag FROM (
+    SELECT a.product, sqrt((a.lon - b.lon) * (a.lon - b.lon) + (a.lat - b.lat) * (a.lat - b.lat)) AS d,
+           0.5e0 * (a.zeta - b.zeta) * (a.zeta - b.zeta) AS g
+    FROM v_zeta a JOIN v_zeta b ON a.product = b.product AND a.station_id < b.station_id) WHERE d <= 6)
+GROUP BY 1, 2""")
+def variogram_to_largest_lag(spark, d):
+    """Only blocks within the largest lag of each other meet."""
+    points = bias.interpolation_points(_zetas(spark, d))
+    return rounded(kriging.empirical_variogram(points, groups=["product"], block=32, max_lag=6.0), "d_mean", "gamma")
+
+
 @case("empirical_variogram", f"""
 SELECT product, CAST(lag AS INTEGER) AS lag, {q6('avg(d)')} AS d_mean, {q6('avg(g)')} AS gamma, count(*) AS n_pairs FROM (
   SELECT product, d, g, greatest(least(floor((d - lo) / ((hi - lo) / 12e0)), 11), 0) AS lag FROM (

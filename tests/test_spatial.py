@@ -140,6 +140,45 @@ def test_variogram_counts_every_pair_once(spark, field, block):
     np.testing.assert_allclose(got.d_mean, [d[lag == k].mean() for k in got.lag])
 
 
+@pytest.mark.parametrize(("block", "max_lag"), [(25, 0.7), (40, 4.0), (2000, 30.0)])
+def test_variogram_up_to_a_largest_lag(spark, field, block, max_lag):
+    """Half of the points crowd one tile; points without value do not count."""
+    crowd = field.assign(station_id="c" + field.station_id, lon=5 + field.lon / 1000, lat=5 + field.lat / 1000)
+    both = pd.concat([field, crowd, field.iloc[:3].assign(station_id=["n1", "n2", "n3"], zeta=None)])
+    got = kriging.empirical_variogram(spark.createDataFrame(both), block=block, max_lag=max_lag).orderBy("lag").toPandas()
+    x, y, z = (both.dropna()[c].to_numpy() for c in ("lon", "lat", "zeta"))
+    i, j = np.triu_indices(180, 1)
+    d, g = np.hypot(x[i] - x[j], y[i] - y[j]), 0.5 * (z[i] - z[j]) ** 2
+    d, g = d[d <= max_lag], g[d <= max_lag]
+    lag = np.clip(np.floor(d / (max_lag / 12)), 0, 11).astype(int)
+    assert got.n_pairs.tolist() == [n for n in np.bincount(lag) if n]
+    np.testing.assert_allclose(got.gamma, [g[lag == k].mean() for k in got.lag])
+
+
+def test_few_blocks_meet_up_to_a_largest_lag(spark):
+    rng = np.random.default_rng(4)
+    pts = pd.DataFrame({"_g": 0, "key": range(4000), "x": rng.uniform(0, 100, 4000), "y": rng.uniform(0, 100, 4000), "z": 1.0})
+    placed = kriging._blocks(spark.createDataFrame(pts), ["_g"], 40, 2.0)
+    blocks = placed.select("block").distinct().count()
+    assert kriging._pairs_of_blocks(placed, ["_g"], 2.0).count() <= 9 * blocks
+    assert kriging._pairs_of_blocks(placed, ["_g"], None).count() == blocks * (blocks + 1) // 2
+
+
+def test_solve_agrees_with_the_pseudo_inverse(field):
+    """Twins, regular neighbours and a variogram without any variance in one batch."""
+    x, y, z = (np.array(field[c][:24]).reshape(4, 6) for c in ("lon", "lat", "zeta"))
+    x[1, 1], y[1, 1] = x[1, 0], y[1, 0]
+    d0 = np.hypot(x - 3.0, y - 3.0)
+    for v in (kriging.Variogram("spherical", 1.0, 4.0, 0.1), kriging.Variogram("spherical", 0.0, 1.0, 0.0)):
+        want = []
+        for r in range(4):
+            a = np.ones((7, 7))
+            d = np.hypot(x[r][:, None] - x[r], y[r][:, None] - y[r])
+            a[:6, :6], a[6, 6] = np.where(d > 0, v(d), 0.0), 0.0
+            want.append((np.linalg.pinv(a) @ np.append(v(d0[r]), 1.0))[:6] @ z[r])
+        np.testing.assert_allclose(kriging._solve(x, y, z, d0, v), want, atol=1e-9)
+
+
 @pytest.mark.parametrize("model", kriging.MODELS)
 def test_kriging_is_exact_at_data_and_keeps_constants(spark, field, model):
     pts = spark.createDataFrame(field)
