@@ -219,11 +219,8 @@ SELECT pct, {q6('greatest(10e0, lim)')} AS lim FROM (
     "99.5 AS", "99.5e0 AS").replace("95.0,", "95e0,"))
 def axis_limit(spark, d):
     pairs = bias.plot_qc(_pairs_with_zeta(spark, d))
-    limits = [
-        diagnostics.axis_limit(pairs, (), p / 100.0).select(F.lit(p).alias("pct"), r6("lim").alias("lim"))
-        for p in (99.5, 95.0)
-    ]
-    return limits[0].unionByName(limits[1])
+    limits = diagnostics.axis_limits(pairs, [0.995, 0.95])
+    return limits.select(F.round(F.col("prob") * 100, 1).alias("pct"), r6("lim").alias("lim"))
 
 
 BIN = "CAST(least(floor({0} / 4e0), 49) AS INTEGER)"

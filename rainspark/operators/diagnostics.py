@@ -120,16 +120,23 @@ def box_stats(biases: DataFrame) -> DataFrame:
     return quantile_columns(biases, ["product", "stage"], "bias", BOX)
 
 
-def axis_limit(
-    pairs_with_zeta: DataFrame, groups: Sequence[str] = (), pct: float = 0.995, floor: float = 10.0
+def axis_limits(
+    pairs_with_zeta: DataFrame, pcts: Sequence[float], groups: Sequence[str] = (), floor: float = 10.0
 ) -> DataFrame:
-    """(groups, lim): percentile over gauge, product and corrected values together."""
+    """(groups, prob, lim): percentiles over gauge, product and corrected values together."""
     stacked = pairs_with_zeta.select(*groups, F.explode(F.array("pr_g", "pr_p", "pr_cor")).alias("v"))
-    return exact_quantiles(stacked, groups, "v", [pct]).select(
-        *groups, F.greatest("q", F.lit(floor)).alias("lim")
+    return exact_quantiles(stacked, groups, "v", pcts).select(
+        *groups, "prob", F.greatest("q", F.lit(floor)).alias("lim")
     )
 
 
+def axis_limit(
+    pairs_with_zeta: DataFrame, groups: Sequence[str] = (), pct: float = 0.995, floor: float = 10.0
+) -> DataFrame:
+    """(groups, lim): one percentile of `axis_limits`."""
+    return axis_limits(pairs_with_zeta, [pct], groups, floor).drop("prob")
+
+
 def _edge_bin(v: Column, low: Column, high: Column, nbins: int) -> Column:
     """Bin whose left edge is the last one not above `v`, clamped into range.
 
@@ -177,17 +184,18 @@ def density_of_points(
 def density_ranges(
     points: DataFrame, x: str, y: str, groups: Sequence[str] = (), top: float = 0.995
 ) -> DataFrame:
-    """(groups, x_lo, x_hi, y_lo, y_hi): from the minimum to a high percentile, padded by 2 %."""
-    out = None
-    for c, name in ((x, "x"), (y, "y")):
-        q = quantile_columns(points, groups, c, {"lo": 0.0, "hi": top}).drop("n")
-        pad = F.lit(0.02) * (F.col("hi") - F.col("lo") + F.lit(1e-9))
-        r = q.select(
-            *groups, F.greatest(F.col("lo") - pad, F.lit(0.0)).alias(f"{name}_lo"),
-            (F.col("hi") + pad).alias(f"{name}_hi"),
-        )
-        out = r if out is None else out.join(r, list(groups))
-    return out
+    """(groups, x_lo, x_hi, y_lo, y_hi): from the minimum to a high percentile, padded by 2 %.
+
+    Both columns share one run of the quantiles.
+    """
+    named = F.array(*[F.struct(F.lit(n).alias("axis"), F.col(c).cast("double").alias("v")) for c, n in ((x, "x"), (y, "y"))])
+    stacked = points.select(*groups, F.explode(named).alias("s")).select(*groups, "s.axis", "s.v")
+    q = quantile_columns(stacked, [*groups, "axis"], "v", {"lo": 0.0, "hi": top})
+    pad = F.lit(0.02) * (F.col("hi") - F.col("lo") + F.lit(1e-9))
+    ends = {"lo": F.greatest(F.col("lo") - pad, F.lit(0.0)), "hi": F.col("hi") + pad}
+    return q.groupBy(*groups).agg(
+        *[F.max(F.when(F.col("axis") == n, ends[e])).alias(f"{n}_{e}") for n in ("x", "y") for e in ("lo", "hi")]
+    )
 
 
 def raster_summary(cells: DataFrame, groups: Sequence[str], value: str) -> DataFrame:

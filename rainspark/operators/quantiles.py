@@ -1,94 +1,65 @@
 """Exact linear-interpolated quantiles of groups of any size.
 
 `percentile` keeps all distinct values of a group in one task. Here a group may hold most of the
-data: equal values are counted first, a histogram of fixed width finds the cell of each wanted
-rank, and only the values of those cells are looked at more closely, until no cell has more
-values than a histogram has cells. Every shuffle is keyed by value or histogram cell, and no
-window sees more than that.
+data: equal values are counted first, and the counts are range-partitioned by group and value, so
+that a large group fills many slices. The totals of the slices say which of them hold a wanted
+rank, and only those are ordered. All probabilities and groups share that one table of counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rainspark.session import materialise
 
-BINS = 1024
-
-
-def _bin(v: Column, low: Column, high: Column, bins: int) -> Column:
-    """Cell of `v` in [low, high]; monotone in `v`."""
-    share = (v - low) / F.nullif(high - low, F.lit(0.0))
-    return F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
-
-
-def _narrow(counts: DataFrame, wanted: DataFrame, keys: list[str], bins: int, level: str):
-    """One refinement step.
-
-    `counts`: (keys, low, high, v, n) rows still in play; `wanted`: (keys, rank), ranks counted
-    within those rows. Returns the same two tables for the cells that hold a wanted rank.
-    """
-    binned = counts.withColumn(level, _bin(F.col("v"), F.col("low"), F.col("high"), bins))
-    cells = binned.groupBy(*keys, level).agg(
-        F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
-    )
-    w = W.partitionBy(*keys).orderBy(level).rowsBetween(W.unboundedPreceding, W.currentRow)
-    cum = cells.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
-    hit = wanted.join(cum, keys).filter(
-        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto"))
-    )
-    next_keys = [*keys, level]
-    next_wanted = hit.select(*next_keys, "want", (F.col("rank") - F.col("before")).alias("rank"))
-    bounds = hit.select(*next_keys, "low", "high").distinct()
-    next_counts = binned.select(*next_keys, "v", "n").join(bounds, next_keys)
-    return next_counts, next_wanted, next_keys
-
 
 def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], bins: int = BINS
+    df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], slices: int | None = None
 ) -> DataFrame:
     """(groups..., prob, q, n): NumPy's default linear quantile of the non-NULL values.
 
     `groups` must be non-NULL columns; give none for a single group. The value counts are written
-    once, since every step reads them.
+    once, in `slices` ranges (the session's number of shuffle partitions by default); the written
+    table fixes where each range ends.
     """
     keys = ["_g", *groups]
-    counts = materialise(
+    counts = (
         df.filter(F.col(value).isNotNull())
         .withColumn("_g", F.lit(0))
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
-        .agg(F.count("*").alias("n")),
-        "values",
+        .agg(F.count("*").alias("n"))
     )
-    sizes = counts.groupBy(*keys).agg(
-        F.sum("n").alias("total"), F.min("v").alias("low"), F.max("v").alias("high")
+    order = [*keys, "v"]
+    ranged = counts.repartitionByRange(slices, *order) if slices else counts.repartitionByRange(*order)
+    values = materialise(ranged.withColumn("_slice", F.spark_partition_id()), "values")
+
+    up_to_here = W.unboundedPreceding, W.currentRow
+    parts = values.groupBy(*keys, "_slice").agg(F.sum("n").alias("size"), F.min("v").alias("start"))
+    ends = parts.withColumn(
+        "before", F.sum("size").over(W.partitionBy(*keys).orderBy("start").rowsBetween(*up_to_here)) - F.col("size")
     )
     ranked = (
-        sizes.select(*keys, "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+        parts.groupBy(*keys).agg(F.sum("size").alias("total"))
+        .select(*keys, "total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
         .withColumn("pos", F.col("prob") * (F.col("total") - 1))
         .withColumn("lo", F.floor("pos"))
         .withColumn("hi", F.ceil("pos"))
     )
     wanted = ranked.select(*keys, F.explode(F.array("lo", "hi")).alias("rank")).distinct()
-    wanted = wanted.withColumn("want", F.col("rank"))
-    pool = counts.join(sizes.drop("total"), keys)
-
-    # narrow until every cell that holds a wanted rank has few values, however they are spread
-    cell, level = keys, 0
-    while True:
-        pool, left, cell = _narrow(pool, wanted if level == 0 else left, cell, bins, f"_b{level}")
-        pool, level = materialise(pool, "cells"), level + 1
-        if (pool.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0) <= bins:
-            break
-    w = W.partitionBy(*cell).orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    tail = pool.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
+    left = F.col("rank") - F.col("before")
+    hit = wanted.join(ends, keys).filter((left >= 0) & (left < F.col("size"))).select(
+        *keys, "_slice", "rank", left.alias("left")
+    )
+    opened = values.join(hit.select(*keys, "_slice"), [*keys, "_slice"], "left_semi")
+    inside = W.partitionBy(*keys, "_slice").orderBy("v").rowsBetween(*up_to_here)
     at_rank = (
-        left.join(tail, cell)
-        .filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto")))
+        opened.withColumn("upto", F.sum("n").over(inside))
+        .join(hit, [*keys, "_slice"])
+        .filter((F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n")))
         .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("want", "v"))).alias("values"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("values"))
     )
     v_lo, v_hi = F.element_at("values", F.col("lo")), F.element_at("values", F.col("hi"))
     return ranked.join(at_rank, keys).select(
@@ -99,10 +70,10 @@ def exact_quantiles(
 
 
 def quantile_columns(
-    df: DataFrame, groups: Sequence[str], value: str, named: dict[str, float], bins: int = BINS
+    df: DataFrame, groups: Sequence[str], value: str, named: dict[str, float], slices: int | None = None
 ) -> DataFrame:
     """The same quantiles, one column per name, with the group size `n`."""
-    rows = exact_quantiles(df, groups, value, sorted(set(named.values())), bins)
+    rows = exact_quantiles(df, groups, value, sorted(set(named.values())), slices)
     picks = [
         F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("q"))).alias(name)
         for name, p in named.items()

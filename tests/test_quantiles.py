@@ -3,14 +3,15 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rainspark.operators import describe, diagnostics
+from rainspark.operators import describe, diagnostics, quantiles
 from rainspark.operators.quantiles import exact_quantiles
+from rainspark.session import materialise
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.98, 0.995, 1.0]
 
 
-@pytest.mark.parametrize("bins", [3, 1024])
-def test_exact_quantiles_equal_numpy(spark, bins):
+@pytest.mark.parametrize("slices", [None, 3, 50])
+def test_exact_quantiles_equal_numpy(spark, slices):
     rng = np.random.default_rng(7)
     groups = {
         "hot": rng.lognormal(0, 3, 5000),            # most rows, long tail
@@ -20,15 +21,32 @@ def test_exact_quantiles_equal_numpy(spark, bins):
     }
     rows = pd.DataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], columns=["g", "v"])
     df = spark.createDataFrame(rows).unionByName(spark.createDataFrame([("hot", None)], "g string, v double"))
-    got = exact_quantiles(df, ["g"], "v", PROBS, bins).collect()
+    got = exact_quantiles(df, ["g"], "v", PROBS, slices).collect()
     assert len(got) == len(groups) * len(PROBS)
     for r in got:
         assert r.q == pytest.approx(np.percentile(groups[r.g], r.prob * 100), rel=1e-12, abs=1e-12)
         assert r.n == len(groups[r.g])
-    overall = exact_quantiles(df, [], "v", [0.3], bins).first()
+    overall = exact_quantiles(df, [], "v", [0.3], slices).first()
     assert overall.q == pytest.approx(np.percentile(rows.v, 30), rel=1e-12)
 
 
+def test_limits_share_one_table_of_counts(spark, monkeypatch):
+    """Several percentiles write one table; a hot group fills all slices that are asked for."""
+    written = []
+    monkeypatch.setattr(quantiles, "materialise", lambda df, name: written.append(materialise(df, name)) or written[-1])
+    v = np.random.default_rng(2).uniform(0, 300, 6000)
+    rows = pd.DataFrame({"product": "hot", "pr_g": v, "pr_p": v / 2, "pr_cor": v / 3})
+    got = diagnostics.axis_limits(spark.createDataFrame(rows), [0.95, 0.995, 0.0], ["product"]).collect()
+    stacked = np.r_[v, v / 2, v / 3]
+    assert {r.prob: r.lim for r in got} == pytest.approx({p: max(np.percentile(stacked, p * 100), 10) for p in (0.0, 0.95, 0.995)})
+    assert len(written) == 1
+    ranges = diagnostics.density_ranges(spark.createDataFrame(rows), "pr_g", "pr_p", ["product"]).first()
+    exact_quantiles(spark.createDataFrame(rows), ["product"], "pr_g", [0.5], 8)
+    sizes = [r["count"] for r in written[2].groupBy("_slice").count().collect()]
+    assert len(written) == 3 and len(sizes) == 8 and max(sizes) < 2 * 6000 / 8
+    assert ranges.x_hi == pytest.approx(1.02 * np.percentile(v, 99.5) - 0.02 * v.min(), rel=1e-6)
+
+
 def classic_bins(v):
     """Narrower of the Sturges and Freedman-Diaconis widths; Sturges when the quartiles meet."""
     span, iqr = np.ptp(v), np.subtract(*np.percentile(v, [75, 25]))
