@@ -102,14 +102,13 @@ def pairs_roundtrip(spark, d):
 SELECT CASE product WHEN 'PERS' THEN 'PERSIANN' WHEN 'XAVIER' THEN 'BR-DWGD' ELSE product END AS product,
        count(*) AS n, {q6("sum(pr_p)", 4)} AS total FROM v_pairs GROUP BY 1""")
 def pair_columns_normalised(spark, d):
-    """Each product's own column name, brought to one."""
-    out = None
+    """Each product's files with a column name of their own, brought to one."""
     names = {"XAVIER": "xavier_pr_mm", "IMERG": "imerg_mm", "CHIRPS": "chirps_mm", "PERS": "persiann_mm"}
-    pairs = _pairs(spark, d)
+    folder, pairs = f"{shared_folder(spark)}/pair-files-{uuid.uuid4().hex}", _pairs(spark, d)
     for product, name in names.items():
         own = pairs.filter(F.col("product") == product).drop("product").withColumnRenamed("pr_p", name)
-        part = pair_files.normalise_pairs(columns.normalise_product_column(own))
-        out = part if out is None else out.unionByName(part)
+        own.write.option("header", True).csv(f"{folder}/{product}")
+    out = pair_files.read_pair_csv(spark, [f"{folder}/{product}" for product in names])
     return out.groupBy("product").agg(F.count("*").alias("n"), r6(F.sum("pr_p"), 4).alias("total"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from checks.registry import case, r6, rounded
 from checks.sql_views import PRODUCTS_SQL, STATES_SQL, r6 as q6
 from rainspark.functions import text
 from rainspark.operators import calendar, extremes
-from rainspark.session import materialise, shared_folder
+from rainspark.session import shared_folder
 from rainspark.sources import daily, inventory, products, rasters, sinks
 
 FIRST, LAST = 1995, 2001  # years of the given tables, as columns of the SQL
@@ -133,15 +132,12 @@ def wide_annual(spark, d):
 
 @case("wide_daily_roundtrip", "SELECT code, date, pr_g FROM v_gauge")
 def wide_daily_roundtrip(spark, d):
-    """Every year out as one wide table and back to long rows."""
-    gauge, codes = materialise(t.gauge_daily(spark, d), "gauge"), t.stations(spark, d).select("code")
-    first, last = gauge.agg(F.min(F.year("date")), F.max(F.year("date"))).first()
-    back = None
-    for y in range(first, last + 1):
-        wide = daily.export_wide_daily(gauge, codes, dt.date(y, 1, 1), dt.date(y, 12, 31))
-        part = daily.wide_to_long(wide, ["code"], y, y).filter("pr_g IS NOT NULL")
-        back = part if back is None else back.unionByName(part)
-    return back
+    """All years out as one wide CSV table and back to long rows."""
+    gauge, stations = t.gauge_daily(spark, d), t.stations(spark, d).select("code", "name")
+    first, last = gauge.agg(F.min("date"), F.max("date")).first()
+    path = f"{shared_folder(spark)}/wide-{uuid.uuid4().hex}"
+    daily.write_wide_daily(gauge, stations, path, first, last)
+    return daily.read_wide_daily(spark, path, ["code"]).filter("pr_g IS NOT NULL")
 
 
 @case("year_slice", "SELECT code, date, pr_g FROM v_gauge WHERE year(date) BETWEEN 1997 AND 1999")

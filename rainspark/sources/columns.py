@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Column names met in station, pair and inventory files.
 LAT_NAMES = ("lat", "latitude", "y", "lat_g", "y_g", "coord_y", "latitude_dd")
@@ -24,6 +25,19 @@ END_PATTERNS = (r"^end", r"last", r"^to", r"^year_end")
 ROLES = {"lat": LAT_NAMES, "lon": LON_NAMES, "nyd": NYD_NAMES, "state": STATE_NAMES}
 
 
+def file_headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Files of each first line, sorted; one reading finds the first lines of all files.
+
+    Only a file's first block counts, and one task holds it, so `first` is the first line.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value"
+    )
+    heads = lines.filter("at = 0").groupBy("file").agg(F.first("value").alias("header"))
+    found = heads.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    return {r["header"]: [unquote(f) for f in r["files"]] for r in found}
+
+
 def guess_column(df: DataFrame, role: str) -> str | None:
     """Name of the column that plays `role` ('lat', 'lon', 'nyd' or 'state').
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rainspark.functions.numeric import coerce_numeric, safe_ratio
 from rainspark.functions.text import normalise_code8
-from rainspark.sources.columns import normalise_product_column, require_columns
+from rainspark.sources.columns import file_headers, normalise_product_column, require_columns
 
 PAIR_COLUMNS = ("station_id", "lat", "lon", "date", "pr_p", "pr_g", "ratio", "product", "year")
 
@@ -28,13 +29,15 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pair_csv(spark: SparkSession, paths: list[str], hint: str | None = None) -> DataFrame:
-    """Yearly CSV files of one product, with the product column of whatever name."""
+    """Yearly CSV files, with the product column of whatever name; files of one header are one scan."""
     if not paths:
         raise FileNotFoundError("no pair files given")
-    # explicit text schema by header: station ids keep their zeros and no inference pass is run
-    frames = [
-        normalise_product_column(spark.read.option("header", True).csv(p), hint) for p in paths
-    ]
+    frames = []
+    for header, files in sorted(file_headers(spark, paths).items()):
+        names = next(csv.reader([header.removeprefix("\ufeff")]))
+        # every column as text: station ids keep their zeros and no inference pass is run
+        kinds = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        frames.append(normalise_product_column(spark.read.schema(kinds).option("header", True).csv(files), hint))
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     require_columns(merged, {"station_id", "date", "pr_g"}, "pair files")
     return normalise_pairs(merged)

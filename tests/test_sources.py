@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +76,64 @@ def test_wide_export_lists_every_day(spark):
     assert sorted(map(tuple, wide.collect())) == [("a", "A", None, 4.0, None), ("b", "B", None, None, None)]
 
 
+def scans(df):
+    return str(df._jdf.queryExecution().executedPlan()).count("FileScan")
+
+
+def test_wide_files_by_lines(spark, tmp_path):
+    """Two files of one header are one scan, another header is a second; quotes, short lines, no numbers."""
+    (tmp_path / "a.csv").write_text('Code,Name,12/31/1999,1/1/2000,1/2/2000\n007,"Rio, ""A""",0.5,,7\nb,B,x,"3.25",-1\n\n')
+    (tmp_path / "b.csv").write_text("Code,Name,12/31/1999,1/1/2000,1/2/2000\r\nc,,1\r\n")
+    (tmp_path / "c.csv").write_text("\ufeff1/3/2000,Code,note,Name\n4,007,q,R\n")
+    got = daily.read_wide_daily(spark, str(tmp_path), ["Code", "Name"])
+    d = [dt.date(1999, 12, 31), dt.date(2000, 1, 1), dt.date(2000, 1, 2), dt.date(2000, 1, 3)]
+    assert scans(got) == 2
+    assert {(r.Code, r.Name, r.date): r.pr_g for r in got.collect()} == {
+        ("007", 'Rio, "A"', d[0]): 0.5, ("007", 'Rio, "A"', d[1]): None, ("007", 'Rio, "A"', d[2]): 7.0,
+        ("b", "B", d[0]): None, ("b", "B", d[1]): 3.25, ("b", "B", d[2]): -1.0,
+        ("c", "", d[0]): 1.0, ("c", "", d[1]): None, ("c", "", d[2]): None, ("007", "R", d[3]): 4.0,
+    }
+    only = daily.read_wide_daily(spark, str(tmp_path / "a.csv"), ["Code"], 2000, 2005)
+    assert only.agg(F.min("date"), F.count("*")).first()[:] == (d[1], 4)
+    with pytest.raises(ValueError, match="1999-2000"):
+        daily.read_wide_daily(spark, str(tmp_path / "a.csv"), ["Code"], 2001, 2005)
+    with pytest.raises(ValueError, match="City"):
+        daily.read_wide_daily(spark, str(tmp_path / "a.csv"), ["City"])
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.csv").write_text("Code\n1\n")
+    with pytest.raises(ValueError, match="no daily columns"):
+        daily.read_wide_daily(spark, str(tmp_path / "none"), ["Code"])
+
+
+def test_thirty_years_as_one_wide_table(spark, tmp_path):
+    start, end = dt.date(1990, 1, 1), dt.date(2019, 12, 31)
+    rows = [("a", start, 4.0), ("a", start, 9.0), ("a", dt.date(2000, 2, 29), 0.1), ("a", end, 1e-7), ("b", dt.date(2001, 5, 5), 2.5)]
+    rows += [("b", dt.date(2002, 1, 1), None), ("b", dt.date(2020, 1, 1), 3.0), ("c", dt.date(1989, 12, 31), 3.0), ("other", start, 1.0)]
+    long = spark.createDataFrame(rows, "code string, date date, pr_g double")
+    meta = spark.createDataFrame([("a", 'A, "x"'), ("b", "B"), ("c", None)], "code string, name string")
+    daily.write_wide_daily(long, meta, str(tmp_path / "wide"), start, end)
+    lines = [x for f in (tmp_path / "wide").glob("part-*") for x in f.read_text().splitlines()]
+    assert {x.count(",") - x.count(", ") for x in lines} == {10957 + 1}
+    back = daily.read_wide_daily(spark, str(tmp_path / "wide"), ["code", "name"])
+    # beside the dates themselves, which are literals, nothing in the plan is per day
+    plan = re.sub(r"[0-9/,\s-]+", "", str(back._jdf.queryExecution().executedPlan()))
+    assert scans(back) == 1 and len(plan) < 5000
+    assert back.count() == 3 * 10957
+    assert {(r.code, r.name, r.date, r.pr_g) for r in back.filter("pr_g IS NOT NULL").collect()} == {
+        ("a", 'A, "x"', start, 4.0), ("a", 'A, "x"', dt.date(2000, 2, 29), 0.1), ("a", 'A, "x"', end, 1e-7),
+        ("b", "B", dt.date(2001, 5, 5), 2.5),
+    }
+
+
+def test_pair_files_are_scanned_once_per_header(spark, tmp_path):
+    for y in range(2000, 2006):
+        name = "imerg_mm" if y < 2003 else "imerg"
+        (tmp_path / f"p_{y}.csv").write_text(f"station_id,date,{name},pr_g\n00000007,{y}-01-05,10,20\n")
+    got = pairs.read_pair_csv(spark, [str(f) for f in sorted(tmp_path.glob("p_*.csv"))])
+    assert scans(got) == 2
+    assert sorted((r.date.year, r["product"], r.pr_p, r.ratio) for r in got.collect()) == [(y, "IMERG", 10.0, 2.0) for y in range(2000, 2006)]
+
+
 def test_pair_files_of_two_layouts(spark, tmp_path):
     one, two = tmp_path / "p_2000.csv", tmp_path / "p_2001.csv"
     one.write_text("station_id,lat,lon,date,chirps_mm,pr_g,ratio\n00000007,1,2,2000-01-05,10,20,2\n")
