@@ -55,6 +55,23 @@ def test_forest_isolates_what_stands_apart():
     assert 0.3 < quality.calibrate(good, bad, price=20) < 0.5 and 0.2 < quality.calibrate(good, bad, price=0.1) < 0.25
 
 
+def test_sample_is_cut_by_hash_before_it_is_ordered(spark, monkeypatch):
+    """The same rows as without the cutoff; only about `sample` of them are ordered."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 4000, 1, 8).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.col("id") % k) for k in range(2, 40)]).alias("text"))
+    stats = quality.rule_statistics(docs)
+    labels = docs.select("doc_id", (F.col("doc_id") % 7 > 0).cast("int").alias("quality"))
+    kind = type(docs)
+    ordered, taken, order_by, to_pandas = [], [], kind.orderBy, kind.toPandas
+    monkeypatch.setattr(kind, "orderBy", lambda df, *c: ordered.append(df.count()) or order_by(df, *c))
+    monkeypatch.setattr(kind, "toPandas", lambda df: taken.append(to_pandas(df)) or taken[-1])
+    quality.fit(stats, labels, 400)
+    want = order_by(stats.join(labels, "doc_id"), F.xxhash64("doc_id")).limit(400).select("quality", *quality.STATISTICS)
+    assert 400 <= ordered[0] < 700
+    assert [tuple(r) for r in taken[0].itertuples(index=False)] == [tuple(r) for r in want.collect()]
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(ODD)] + [(None, ODD[6], "s", 1)], "doc_id long, text string, score string, kept int")
     stats = quality.rule_statistics(docs)
