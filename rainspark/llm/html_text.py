@@ -1,13 +1,14 @@
 """Main text of HTML pages: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags. A block is described by its word count and link
-density, those of the blocks before and after it, and by the kind of the element it stands in. A
-decision tree (Gini impurity, grown here) is trained on the small labelled table PAGES, whose blocks
-are marked, and says which blocks are main text.
+density, those of the blocks before and after it, by the kind of the element it stands in, and by whether
+the page marks an article at all. A decision tree (Gini impurity, grown here) is trained on the small
+labelled table PAGES, whose blocks are marked, and says which blocks are main text.
 
 Cases: null and empty pages give an empty text; unclosed and cut-off tags end where the page ends;
-scripts, styles and comments are dropped whole, closed or not; character references are decoded,
-also without a semicolon where HTML allows it; repeated rows and empty tables are no matter.
+scripts, styles, comments, text areas and frames are dropped whole, closed or not (as browsers do); character
+references are decoded, also without a semicolon where HTML allows it; repeated rows and empty tables
+are no matter; only page_id, url and html are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -41,6 +42,11 @@ APART_NAMES = frozenset(
     "navbar navigation newsletter notice pagination popup promo promoted related respond reply replies disqus share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: Words that may follow a name above in a class: comment-list, sidebar-left, ad-slot. Other words make it another thing: ad-free.
+PART_WORDS = frozenset(
+    "area bar block body bottom box center column container content group holder inner item items left link links list main meta outer panel posts right row section slot "
+    "text title top unit wrap wrapper zone".split()
+)
 #: Words of a class that tells the state of a page or wrapper: has-sidebar, comments-open.
 STATE_WORDS = frozenset("has with without no open closed".split())
 MAIN_NAMES = frozenset("article content entry main post story".split())
@@ -77,20 +83,34 @@ class Element:
     soft: bool = False
 
 
+def sets_apart(parts: list[str]) -> bool:
+    """Whether a class, id or role, given as its words, names something apart from the article.
+
+    It does if its last word is such a name (top-menu, site-footer) or all words after the name are parts of a page
+    (comment-list, ad-slot-2); an article's header belongs to it.
+    """
+    parts = [w for w in parts if w and not w.isdigit()]
+    if STATE_WORDS & set(parts) or len(parts) > 1 and parts[-1] == "header" and parts[-2] in MAIN_NAMES:
+        return False
+    while parts and parts[-1] in PART_WORDS and parts[-1] not in APART_NAMES:
+        parts = parts[:-1]
+    return bool(parts) and parts[-1] in APART_NAMES
+
+
 def place_of(name: str, attributes: str, inside: int, soft: bool = False) -> tuple[int, bool]:
     """What an element says about its blocks, and whether it is apart only as a wrapper may be.
 
     An article or main inside an element apart is an article again, unless its own names say otherwise (a
     comment); an element named as content is only inside a form.
     """
-    names, apart = set(), set()
+    names, apart = set(), False
     for m in NAMES.finditer(attributes):
         for one in (m[1] or m[2] or m[3] or "").lower().split():
-            parts = set(re.split(r"[^a-z0-9]+", one))
-            names |= parts
-            apart |= parts & APART_NAMES if not parts & STATE_WORDS else set()
+            parts = re.split(r"[^a-z0-9]+", one)
+            names.update(parts)
+            apart = apart or sets_apart(parts)
     if name in ("html", "body"):
-        apart = set()
+        apart = False
     if name in MAIN and (inside >= 0 or not apart or names & MAIN_NAMES):
         return 1, False
     if inside < 0:
@@ -179,7 +199,7 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "place", "heading", "place_before", "place_after")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "place", "heading", "place_before", "place_after", "marked")
 
 
 def describe(blocks: list[Block]) -> np.ndarray:
@@ -188,7 +208,8 @@ def describe(blocks: list[Block]) -> np.ndarray:
     edge = np.zeros((1, 2))
     before, after = np.concatenate([edge, own[:-1]]), np.concatenate([own[1:], edge])
     kind = np.array([b.heading for b in blocks], dtype=np.float64)
-    return np.column_stack([own, before, after, place, kind, np.concatenate([[0], place[:-1]]), np.concatenate([place[1:], [0]])])
+    marked = np.full(len(blocks), float((place > 0).any()))
+    return np.column_stack([own, before, after, place, kind, np.concatenate([[0], place[:-1]]), np.concatenate([place[1:], [0]]), marked])
 
 
 @dataclass
@@ -198,7 +219,7 @@ class Tree:
     nodes: np.ndarray
 
     @staticmethod
-    def grow(x: np.ndarray, y: np.ndarray, depth: int = 5, least: int = 2) -> Tree:
+    def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 2) -> Tree:
         nodes: list[list[float]] = []
 
         def gini(a: np.ndarray) -> float:
@@ -232,24 +253,56 @@ class Tree:
         return self.nodes[at, 4] > 0.5
 
 
-# The labelled table: blocks of an element marked data-main are main text, all others are not.
-_LONG = "The river rose after three days of rain and the town closed both bridges before noon while crews carried sand to the lower streets"
-_SHORT = "Nobody was hurt."
-_MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>News and reports</a></li><li><a href=/c>Contact us</a></li></ul>"
-_COMMENT = "I was there that night and it was far worse than this report says it was, the water stood in our kitchen"
-PAGES = (
-    f"<title>Flood</title><nav>{_MENU}</nav><div class=ad>Buy two get one free at the big store this week only</div><article data-main><h1>Flood in town</h1><p>{_LONG}</p>"
-    f"<p>{_SHORT}</p><p>{_LONG}</p></article><footer>&copy; 2020 The Paper</footer>",
-    f"<header><a href=/>The Paper</a><p>News since 1900</p></header>{_MENU}<div class=content data-main><h2>Report</h2><p>{_LONG}</p><blockquote>{_SHORT}</blockquote><ul><li>sand</li>"
-    f"<li>boats and pumps</li></ul></div><div id=comments><p>{_COMMENT}</p></div><aside><h3>Most read</h3><p>{_LONG}</p></aside>",
-    f"<div>{_MENU}</div><div><p data-main>{_LONG}</p><p data-main>{_LONG}</p></div><div><a href=/x>Privacy</a> <a href=/y>Terms of use</a></div><div>All rights reserved</div>",
-    f"<div class=cookie-notice>We use cookies to make this site work and to count visits, read more in our policy</div><main data-main><h1>Title</h1><p>{_LONG}</p><p>See <a href=/z>the map</a>"
-    f"</p><table><tr><td>Monday<td>12 mm</table></main><form>Your name and mail please to get the letter every week</form><section class=comments><h3>2 comments</h3><p>{_COMMENT}</p></section>",
-    f"<article data-main><p>{_SHORT}</p><p>Yes.</p></article><div class=sidebar><p>{_LONG}</p></div><footer><p>{_LONG}</p></footer>",
-    f"<nav><p>{_LONG}</p></nav><article><h1 data-main>Name</h1><p data-main>{_LONG}</p><div class=share><a href=/f>Share</a></div><div class=advert>{_LONG}</div><p data-main>{_SHORT}</p>"
-    f"<div class=comments><p>{_COMMENT}</p><p>No.</p></div></article>",
-    f"<p>Menu</p><p><a href=/k>Log in</a></p><p data-main>{_LONG} {_LONG}</p><p data-main>{_LONG}</p><p>Page 1</p><p><a href=/2>Next page</a></p>",
+# The labelled table: blocks of an element marked data-main are main text, all others are not. Each body stands in each frame.
+def _say(n: int) -> str:
+    """The first n words of a short report, told again if it ends."""
+    told = (
+        "The river rose after three days of rain and the town closed both bridges before noon while crews carried sand to the lower streets and neighbours "
+        "brought what they could up to the church on the hill where tea was made until the water fell late on the second night"
+    ).split()
+    return " ".join(told[i % len(told)] for i in range(n))
+
+
+def _row(shape: str, mark: str = "") -> str:
+    """Blocks from `tag:words` or `tag:words:linked`, the last words of a block being links."""
+    made = []
+    for part in shape.split():
+        tag, n, linked = (*part.split(":"), "0")[:3]
+        text, link = _say(int(n) - int(linked)), _say(int(linked))
+        made.append(f"<{tag}{mark}>{text}{f' <a href=/x>{link}</a>' if link else ''}</{tag}>")
+    return "".join(made)
+
+
+#: Bodies of pages that mark no article, and of articles.
+PLAIN = (
+    "h1:3 p:40 p:35", "p:12 p:15 p:9 p:22", "h2:4 p:18 p:3 p:20", "p:60 h3:2 p:50 p:5 p:45", "p:30 li:6 li:8 li:5 p:25", "p:25:3 p:40:5 p:30", "div:80", "p:8 p:10 p:7 p:11",
+    "h1:6 p:2 p:30 p:26", "blockquote:15 p:20 pre:10", "h1:5 p:23 p:14 h2:3 p:19 p:21", "p:17:4 p:6 p:16",
+)
+ARTICLES = (
+    "h1:3 p:40 p:3 p:35", "p:3 p:1", "h2:1 p:23 blockquote:3 li:1 li:3", "h1:1 p:23 p:4:3 td:1 td:2", "p:120 p:2", "h1:4 h2:2 p:8 li:3:3 li:2:2 p:9", "p:30:30 p:14", "h1:2 p:18 h2:2 p:1",
+)
+_LINKS, _HEADLINES = "".join(_row("li:1:1 li:3:3 li:2:2")), "".join(_row("li:7:7 li:9:9 li:12:12 li:6:6"))
+#: Each with a place for the body.
+FRAMES = (
+    "<title>Flood</title>{}",
+    f"<nav><ul>{_LINKS}</ul></nav>{{}}<footer>{_row('p:40')}&copy; 2020 The Paper</footer>",
+    f"<ul>{_LINKS}</ul><div>{{}}</div><div><a href=/x>Privacy</a> <a href=/y>Terms of use</a></div><div>All rights reserved</div>",
+    f"{_row('p:6')}<ul>{_LINKS}</ul>{{}}<p><a href=/z>Imprint</a></p>{_row('p:11')}<p><a href=/y>Terms</a></p>{_row('p:9')}",
+    f"{_row('div:13')}<ul>{_LINKS}</ul>{_row('div:5')}<ul>{_HEADLINES}</ul>{{}}<ul>{_HEADLINES}</ul>{_row('div:16 div:8:8 div:4')}",
+    f"<div class=top-menu>{_row('p:23')}</div><div class=ad>{_row('p:60 p:45')}</div>{{}}<aside>{_row('h3:2 p:30')}</aside><section class=comments>{_row('h3:2 p:20 p:1 p:35')}</section>",
+    f"<h1>The Paper</h1><ul>{_LINKS}</ul>{{}}<h3>Most read</h3><ul>{_HEADLINES}</ul><p>Mail to us</p>",
+    f"{{}}<h4>Most read</h4><ul>{_LINKS}</ul><p>Read also:</p><ul>{_LINKS}</ul>",
+    f"<p><a href=/>Home</a> <a href=/n>News</a></p>{{}}<p>Page 1</p><p><a href=/2>Next page</a></p><form>{_row('p:14')}</form>",
+)
+#: What holds an article, and what stands in it that is not of it.
+HOLDERS = (
+    "<article data-main>{}</article>", "<main data-main>{}</main>", "<div class=content data-main>{}</div>", "<div id=post-12 data-main>{}</div>",
+    "<article><div data-main>{}</div><div class=share><a href=/f>Share</a></div>" + f"<div class=comment-list>{_row('p:21 p:1')}</div></article>",
+    "<article><div class=advert>" + _row("p:23") + "</div><div data-main>{}</div></article>" + _row("p:34"),
 )
+PAGES = tuple(frame.format(_row(body, " data-main")) for frame in FRAMES for body in PLAIN) + tuple(
+    frame.format(HOLDERS[(i + j) % len(HOLDERS)].format(_row(body))) for i, frame in enumerate(FRAMES) for j, body in enumerate(ARTICLES)
+) + tuple(_row("h1:4", " data-main") + HOLDERS[0].format(_row(body)) for body in ARTICLES[:4])
 
 
 @functools.cache
