@@ -98,6 +98,21 @@ def pairs_roundtrip(spark, d):
     )
 
 
+@case("pairs_added_by_run", f"""
+SELECT product, CAST(year(date) AS INTEGER) AS year, CASE WHEN year(date) < 1998 THEN 1 ELSE 2 END AS run, count(*) AS n,
+       {q6("sum(ratio)", 4)} AS ratio_sum
+FROM v_pairs GROUP BY 1, 2, 3""")
+def pairs_added_by_run(spark, d):
+    """Three runs over a growing table: the first years, all years, all years again; every product-year is written once."""
+    path, pairs = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}", materialise(_pairs(spark, d), "pairs")
+    tables = (pairs.filter(F.year("date") < 1998), pairs, pairs)
+    runs = [pair_files.write_missing_pairs(table, path).withColumn("run", F.lit(i)) for i, table in enumerate(tables, 1)]
+    back = pair_files.read_pairs(spark, path).groupBy("product", "year").agg(
+        F.count("*").alias("n"), r6(F.sum("ratio"), 4).alias("ratio_sum")
+    )
+    return back.join(runs[0].union(runs[1]).union(runs[2]), ["product", "year"], "full").select("product", "year", "run", "n", "ratio_sum")
+
+
 @case("pair_columns_normalised", f"""
 SELECT CASE product WHEN 'PERS' THEN 'PERSIANN' WHEN 'XAVIER' THEN 'BR-DWGD' ELSE product END AS product,
        count(*) AS n, {q6("sum(pr_p)", 4)} AS total FROM v_pairs GROUP BY 1""")

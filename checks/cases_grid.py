@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from rainspark.operators import (
 )
 from rainspark.operators.neighbours import nearest_k
 from rainspark.plans import bias_correction, gauges_to_idf, idf_fit
-from rainspark.sources import rasters
+from rainspark.session import shared_folder
+from rainspark.sources import parameter_store, rasters
 
 RC = 'r AS "row", c AS col'
 CELL = ["product", "bias", "row", "col"]
@@ -686,3 +688,16 @@ def sample_points_all_modes(spark, d):
     )
     out = sampled.select("code", "place", "place_full", "elev_m", *serving.COMBO, "K", "a", "b", "c", "missing")
     return rounded(rounded(rounded(out, "a", "c"), "K", digits=3), "b", digits=4)
+
+
+@case("sample_points_from_store", f"""
+SELECT s.code, p.product, p.bias, p.disagg, {q6('p.k', 3)} AS K, {q6('p.a')} AS a, {q6('p.b', 4)} AS b, {q6('p.cc')} AS c
+FROM v_stations s LEFT JOIN v_final p ON p.r = floor((5e0 - s.lat) / 0.19e0) AND p.c = floor((s.lon + 73e0) / 0.38e0)""")
+def sample_points_from_store(spark, d):
+    """Points read from the complete parameter table on disk, which holds a folder for each tile of 8 by 8 cells."""
+    path = f"{shared_folder(spark)}/parameters-{uuid.uuid4().hex}"
+    parameter_store.write_store(_all_params(spark, d), path, 8)
+    points = t.stations(spark, d).select("code", "lat", "lon")
+    bands = ("K", "a", "b", "c")
+    out = parameter_store.sample_store(points, parameter_store.read_store(spark, path), t.FINE, bands, serving.COMBO, 8)
+    return rounded(rounded(rounded(out.select("code", *serving.COMBO, *bands), "a", "c"), "K", digits=3), "b", digits=4)

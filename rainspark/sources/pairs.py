@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from rainspark.functions.numeric import coerce_numeric, safe_ratio
 from rainspark.functions.text import normalise_code8
 from rainspark.sources.columns import file_headers, normalise_product_column, require_columns
+from rainspark.sources.outputs import write_missing
 
 PAIR_COLUMNS = ("station_id", "lat", "lon", "date", "pr_p", "pr_g", "ratio", "product", "year")
 
@@ -21,6 +22,12 @@ def write_pairs(pairs: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
+def write_missing_pairs(pairs: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
+    """Like `write_pairs`, but only product-years the folder lacks; returns the (product, year) written."""
+    table = pairs.withColumn("year", F.year("date")).select(*PAIR_COLUMNS)
+    return write_missing(table, path, ("product", "year"), ("station_id", "date"), fmt)
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Pairs written by `write_pairs` as parquet."""
     return require_columns(
