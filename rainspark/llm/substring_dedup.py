@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
-
-The reference is the corpus itself. Its index holds windows of WINDOW words, each with the first
-document that has it; the blocks of the index are the
-partitions it is spread over, and every document is looked up in all blocks that can know one of its
-windows. A document is then factored greedily from the left: a factor is the longest stretch all of whose
-windows occur earlier, in an earlier document or earlier in the same one, and what lies between
-factors is literal text. Windows across a factor boundary are looked up like all others, so a
-duplicate that two factors share is not missed. Factors have WINDOW words or more; their words go.
+"""Substring dedup by windows: words covered by a window that also starts earlier go.
+
+The reference is the corpus itself. Its index holds windows of WINDOW words by hash, each with the first
+document that has it, spread over the partitions; every document is looked up in all that can know one of its
+windows. A factor is the longest stretch all of whose windows occur earlier, in an earlier document or earlier
+in the same one; its windows may come from several documents, so this is no relative Lempel-Ziv parse: a factor has no
+source position. Windows across a factor boundary are looked up like all others, so a duplicate
+that two factors share is not missed. Factors have WINDOW words or more; their words go.
 
 To keep the index small, a window is only looked up if its anchor, the least k-gram hash in it, is shared by two
 documents; equal windows have equal anchors. The shared anchors go to the tasks as a filter of a
