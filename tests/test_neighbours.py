@@ -98,3 +98,31 @@ def test_queries_of_one_place_are_shared_by_tasks(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert max(r["count"] for r in parts) < 300
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_queries_far_outside_the_points(spark, k, monkeypatch):
+    """A long strip beside the points ranks few candidates per row, and the result is that of all pairs."""
+    rng = np.random.default_rng(3)
+    place = rng.integers(0, 40 * 40, 4000)
+    p = pd.DataFrame({"x": place % 40 + 0.25, "y": place // 40 + 0.5, "code": [f"s{i:05d}" for i in range(4000)], "g": "a"})
+    n = 3000
+    q = pd.DataFrame({"id": range(n), "x": rng.uniform(0, 40, n), "y": -rng.uniform(0, 3000, n), "g": "a"})
+    q.loc[:20, ["x", "y"]] = rng.uniform(-1e9, 1e9, (21, 2))
+    q.loc[21:40, ["x", "y"]] = rng.integers(0, 40, (20, 2)) + 0.25
+    kept = []
+    materialise = neighbours.materialise
+
+    def watched(df, name):
+        out = materialise(df, name)
+        if name == "near":
+            kept.append(out)
+        return out
+
+    monkeypatch.setattr(neighbours, "materialise", watched)
+    rows = nearest_k(spark.createDataFrame(q), spark.createDataFrame(p), k, tie=["code"]).collect()
+    want = brute(q, p, k)
+    assert len(rows) == n
+    for r in rows:
+        assert [(m.d2, m.code) for m in r.neighbours] == want[r.id]
+    assert kept[0].agg(F.avg(F.size("_near"))).first()[0] < 400
