@@ -155,6 +155,27 @@ def test_variogram_up_to_a_largest_lag(spark, field, block, max_lag):
     np.testing.assert_allclose(got.gamma, [g[lag == k].mean() for k in got.lag])
 
 
+@pytest.mark.parametrize("max_lag", [None, 3.0])
+def test_points_at_one_place_meet_as_one_row(spark, max_lag, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 600
+    pts = pd.DataFrame({"station_id": range(n), "lon": rng.integers(0, 6, n) * 1.0, "lat": rng.integers(0, 5, n) * 1.0, "zeta": 1000 + rng.random(n)})
+    kept = {}
+    materialise = kriging.materialise
+    monkeypatch.setattr(kriging, "materialise", lambda df, name: kept.setdefault(name, materialise(df, name)))
+    got = kriging.empirical_variogram(spark.createDataFrame(pts), block=8, max_lag=max_lag).orderBy("lag").toPandas()
+    assert kept["krige-blocks"].count() == 30
+    x, y, z = (pts[c].to_numpy() for c in ("lon", "lat", "zeta"))
+    i, j = np.triu_indices(n, 1)
+    d, g = np.hypot(x[i] - x[j], y[i] - y[j]), 0.5 * (z[i] - z[j]) ** 2
+    low, high = (d[d > 0].min(), d.max()) if max_lag is None else (0.0, max_lag)
+    d, g = d[d <= high], g[d <= high]
+    lag = np.clip(np.floor((d - low) / ((high - low) / 12)), 0, 11).astype(int)
+    assert got.n_pairs.tolist() == [c for c in np.bincount(lag) if c]
+    np.testing.assert_allclose(got.gamma, [g[lag == k].mean() for k in got.lag], rtol=1e-9)
+    np.testing.assert_allclose(got.d_mean, [d[lag == k].mean() for k in got.lag])
+
+
 def test_few_blocks_meet_up_to_a_largest_lag(spark):
     rng = np.random.default_rng(4)
     pts = pd.DataFrame({"_g": 0, "key": range(4000), "x": rng.uniform(0, 100, 4000), "y": rng.uniform(0, 100, 4000), "z": 1.0})
