@@ -47,6 +47,14 @@ def test_no_nested_loops(spark, name):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+@pytest.mark.parametrize("name", ["grid_annual_max", "mean_annual_total", "cell_stats", "gumbel_quantiles"])
+def test_lines_of_a_cell_move_once(spark, name):
+    """Also before they are multiplied by products and bias options, in tasks that are not merged by their bytes."""
+    text = plan(entry.queries()[name](spark, SF_DIR))
+    moves = re.findall(r"Exchange hashpartitioning.*", text)
+    assert len(moves) == 1 and "REPARTITION_BY_NUM" in moves[0]
+
+
 class FakeSession:
     """Settings and master of a session, nothing else."""
 
