@@ -15,7 +15,7 @@ as often as they occur; other columns are ignored. Words of any length are score
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +29,7 @@ from rainspark.session import materialise
 NONE = "und"
 #: Rounds of expectation maximisation, probability of a byte that is no piece, count added to every piece.
 ROUNDS, UNKNOWN, PRIOR = 2, 1e-7, 0.1
+MEMORY = 200_000   # distinct words whose log-probabilities a task remembers
 MARK = b" "
 
 
@@ -138,14 +139,39 @@ def string_buffers(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def unique_words(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One position of each distinct word, and the distinct word of each position, by 64-bit hashes."""
+def unique_words(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One position of each distinct word, the distinct word of each position, and their 64-bit hashes in order."""
     prefix = Pieces._prefix(values)
     starts, lengths = offsets[:-1], np.diff(offsets)
     inverse = words.powers(words.BASE_INVERSE, len(values) + 1)
     h = words.mix((prefix[offsets[1:]] - prefix[starts]) * inverse[starts] + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, first, back = np.unique(h, return_index=True, return_inverse=True)
-    return first, back
+    distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+    return first, back, distinct
+
+
+class Known:
+    """Log-probabilities of words that a task has met, by hash; forgotten when there are more than `MEMORY`."""
+
+    def __init__(self, languages: int):
+        self.hashes, self.log = np.zeros(0, dtype=np.uint64), np.zeros((0, languages))
+
+    def look_up(self, hashes: np.ndarray, compute: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Rows of the distinct `hashes`, in order; `compute` gives those of the places that are new."""
+        at = np.searchsorted(self.hashes, hashes)
+        old = np.zeros(len(hashes), dtype=bool)
+        inside = at < len(self.hashes)
+        old[inside] = self.hashes[at[inside]] == hashes[inside]
+        out = np.empty((len(hashes), self.log.shape[1]))
+        out[old] = self.log[at[old]]
+        new = np.flatnonzero(~old)
+        if len(new):
+            out[new] = compute(new)
+            if len(self.hashes) + len(new) > MEMORY:
+                self.hashes, self.log = hashes[:MEMORY], out[:MEMORY].copy()
+            else:
+                self.log = np.insert(self.log, at[new], out[new], axis=0)
+                self.hashes = np.insert(self.hashes, at[new], hashes[new])
+        return out
 
 
 @dataclass
@@ -254,6 +280,7 @@ def predict(docs: DataFrame, model: Model, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, m = pieces_of(model_file), shared.value
+        known = Known(len(m.languages))
         for batch in batches:
             sizes = np.diff(batch.column("words").offsets.to_numpy())
             part = np.cumsum(sizes) // 500_000
@@ -266,9 +293,13 @@ def predict(docs: DataFrame, model: Model, model_file: str) -> DataFrame:
                 n = np.diff(bounds)
                 total = np.zeros((len(n), len(m.languages)))
                 if len(offsets) > 1 and m.languages:
-                    distinct, back = unique_words(values, offsets)
-                    v, o = string_buffers(lists.values.slice(bounds[0], bounds[-1] - bounds[0]).take(pa.array(distinct)))
-                    log = m.log_probability(own, v, o)
+                    whole = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+                    distinct, back, hashes = unique_words(values, offsets)
+
+                    def compute(new: np.ndarray, whole=whole, distinct=distinct) -> np.ndarray:
+                        return m.log_probability(own, *string_buffers(whole.take(pa.array(distinct[new]))))
+
+                    log = known.look_up(hashes, compute)
                     doc = np.repeat(np.arange(len(n)), n)
                     for i in range(len(m.languages)):
                         total[:, i] = np.bincount(doc, log[back, i], len(n))

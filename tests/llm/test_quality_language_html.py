@@ -187,3 +187,27 @@ def test_tree_fits_the_labelled_table():
     blocks = [html_text.blocks_of(p) for p in html_text.PAGES]
     said = np.concatenate([html_text.trained().main(html_text.describe(b)) for b in blocks])
     assert (said == [b.label for b in itertools.chain(*blocks)]).all()
+
+
+def test_words_met_before_are_not_summed_again(monkeypatch):
+    from rainspark.llm import language
+
+    monkeypatch.setattr(language, "MEMORY", 60)
+    rng = np.random.default_rng(2)
+    known, asked = language.Known(2), []
+
+    def look(hashes):
+        def compute(new):
+            asked.append(len(new))
+            return np.stack([hashes[new] * 2.0, hashes[new] * 3.0], axis=1)
+
+        return known.look_up(hashes, compute)
+
+    for _ in range(30):
+        hashes = np.unique(rng.integers(0, 50, 30)).astype(np.uint64)
+        np.testing.assert_array_equal(look(hashes), np.stack([hashes * 2.0, hashes * 3.0], axis=1))
+    assert sum(asked) == 50
+    for low in range(0, 1000, 40):
+        hashes = np.arange(low, low + 70, dtype=np.uint64)
+        np.testing.assert_array_equal(look(hashes)[:, 1], hashes * 3.0)
+        assert len(known.hashes) <= 60 and (np.diff(known.hashes.astype(np.int64)) > 0).all()
