@@ -103,11 +103,13 @@ def regrid(
         )
         for i in (0, 1) for j in (0, 1)
     ]
+    # four places are opened and those without weight dropped afterwards: a filter on the list would be pushed down to
+    # what the targets come from, and the list written out and computed again for each of those rows
     lookups = (
-        placed.withColumn("near", F.filter(F.array(*corners), lambda n: n["w"] > 0))
-        .withColumn("needed", F.size("near"))
-        .select("row", "col", "needed", F.explode("near").alias("n"))
+        placed.withColumn("needed", F.when(F.col("wr") > 0, 2).otherwise(1) * F.when(F.col("wc") > 0, 2).otherwise(1))
+        .select("row", "col", "needed", F.explode(F.array(*corners)).alias("n"))
         .select("row", "col", "needed", F.col("n.r").alias("r"), F.col("n.c").alias("c"), F.col("n.w").alias("w"))
+        .filter(F.col("w") > 0)
     )
     values = src.select(*keys, F.col("row").alias("r"), F.col("col").alias("c"), F.col(value).alias("_v"))
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from rainspark.grid import Grid
 from rainspark.operators import bias, extremes, kriging, polygons, raster
+from rainspark.session import materialise
 
 
 def station_zetas(
@@ -49,6 +50,8 @@ def corrected_maxima(
     if surface_grid.same_as(amax_grid):
         on_grid = surface
     else:
+        # the cells and the maxima are read apart
+        amax = materialise(amax, "maxima")
         targets = amax.select("row", "col").distinct()
         on_grid = raster.regrid(surface, surface_grid, targets, amax_grid, "zeta", ["product"])
     return raster.apply_bias(amax, on_grid)

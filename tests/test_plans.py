@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from checks import tables
 from rainspark import session
-from rainspark.operators import bias, calendar, extremes
+from rainspark.operators import bias, calendar, extremes, raster
 from rainspark.sources import daily
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -66,6 +66,14 @@ class FakeSession:
         return self.settings.get(name, default)
 
 
+def test_regrid_computes_its_corners_once_per_target(spark):
+    """No filter on the list of corners is pushed down to the rows that the targets come from."""
+    coarse = raster.cell_centres(tables.fine_amax(spark, SF_DIR), tables.FINE)
+    targets = coarse.select(tables.TARGET.row_of(F.col("lat")).alias("row"), tables.TARGET.col_of(F.col("lon")).alias("col")).distinct()
+    text = plan(raster.regrid(tables.zeta_cells(spark, SF_DIR), tables.FINE, targets, tables.TARGET, "zeta", ["product"]))
+    assert "Generate" in text and "lambdafunction" not in text and "size(" not in text
+
+
 def test_shared_folder_is_the_clusters():
     named = FakeSession({"spark.checkpoint.dir": "hdfs://x/shared/"}, "yarn")
     assert session.shared_folder(named) == "hdfs://x/shared"
