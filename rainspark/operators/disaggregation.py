@@ -25,8 +25,11 @@ def cetesb_ratios(factors: Sequence[float] = CETESB_FACTORS, normalise: bool = T
 
 
 def cetesb(spark: SparkSession) -> DataFrame:
-    """One row, valid for every cell: (ratio)."""
-    return spark.createDataFrame([(cetesb_ratios(),)], "ratio array<double>")
+    """One row, valid for every cell: (ratio).
+
+    Made of literals, so that the optimizer knows how small it is.
+    """
+    return spark.range(1).select(F.array(*[F.lit(r) for r in cetesb_ratios()]).alias("ratio"))
 
 
 def usable_stations(stations: DataFrame, columns: Sequence[str] = STATION_COLUMNS) -> DataFrame:

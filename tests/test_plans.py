@@ -74,6 +74,12 @@ def test_regrid_computes_its_corners_once_per_target(spark):
     assert "Generate" in text and "lambdafunction" not in text and "size(" not in text
 
 
+def test_fixed_ratios_are_sent_to_the_quantiles(spark):
+    """Two rows of ratios go to the cells; as a join on their key two tasks would do all the work."""
+    text = plan(entry.QUERIES["design_intensities"](spark, SF_DIR))
+    assert "BuildRight" in text and "BuildLeft" not in text and "SortMergeJoin" not in text
+
+
 def test_shared_folder_is_the_clusters():
     named = FakeSession({"spark.checkpoint.dir": "hdfs://x/shared/"}, "yarn")
     assert session.shared_folder(named) == "hdfs://x/shared"
