@@ -95,13 +95,15 @@ def read_wide_daily(
         if lo > hi:
             continue
         wanted = ",".join(d.isoformat() if d is not None and lo <= d.year <= hi else "" for d in dates)
-        days = F.transform(F.split(F.lit(wanted), ","), lambda d: F.try_to_date(d))
+        # one literal of all dates, read while the plan is built and not once per line
+        days = F.split(F.lit(wanted), ",").try_cast("array<date>")
         lines = spark.read.text(files).filter((F.col("value") != F.lit(header)) & (F.trim("value") != ""))
         rows = lines.select(_fields(F.col("value")).alias("fields"))
-        zipped = F.filter(F.arrays_zip(days.alias("date"), F.col("fields").alias("mm")), lambda v: v["date"].isNotNull())
+        lacking = F.greatest(F.lit(len(dates)) - F.size("fields"), F.lit(0))
+        padded = F.concat("fields", F.array_repeat(F.lit(None).cast("string"), lacking))
         long = rows.select(
-            *[_unquoted(F.get("fields", F.lit(names.index(c)))).alias(c) for c in ids], F.explode(zipped).alias("v")
-        ).select(*ids, F.col("v.date").alias("date"), coerce_numeric(_unquoted(F.col("v.mm"))).alias("pr_g"))
+            *[_unquoted(F.get("fields", F.lit(names.index(c)))).alias(c) for c in ids], F.posexplode(padded).alias("i", "mm")
+        ).select(*ids, F.get(days, F.col("i")).alias("date"), coerce_numeric(_unquoted(F.col("mm"))).alias("pr_g")).filter("date IS NOT NULL")
         out = long if out is None else out.unionByName(long)
     if out is None:
         raise ValueError(f"no overlap with the years {min(spans)}-{max(spans)} of the files" if spans else "no daily files")

@@ -80,6 +80,14 @@ def test_fixed_ratios_are_sent_to_the_quantiles(spark):
     assert "BuildRight" in text and "BuildLeft" not in text and "SortMergeJoin" not in text
 
 
+def test_dates_of_a_wide_table_are_read_once(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text("code,1/1/2000,note,1/2/2000,1/3/2000\na,1,x,2,3\nb,4\nc,5,y,,6,7,8\n")
+    back = daily.read_wide_daily(spark, str(tmp_path / "wide.csv"), ["code"])
+    assert "lambdafunction" not in plan(back) and "to_date" not in plan(back)
+    got = [(r.code, r.date.day, r.pr_g) for r in back.orderBy("code", "date").collect()]
+    assert got == [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 3.0), ("b", 1, 4.0), ("b", 2, None), ("b", 3, None), ("c", 1, 5.0), ("c", 2, None), ("c", 3, 6.0)]
+
+
 def test_shared_folder_is_the_clusters():
     named = FakeSession({"spark.checkpoint.dir": "hdfs://x/shared/"}, "yarn")
     assert session.shared_folder(named) == "hdfs://x/shared"
