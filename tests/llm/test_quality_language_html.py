@@ -72,6 +72,24 @@ def test_sample_is_cut_by_hash_before_it_is_ordered(spark, monkeypatch):
     assert [tuple(r) for r in taken[0].itertuples(index=False)] == [tuple(r) for r in want.collect()]
 
 
+def test_box_and_threshold_come_from_all_labelled_rows(spark):
+    """However few rows the trees draw from."""
+    stats = quality.rule_statistics(spark.read.parquet(f"{LARGER}/documents.parquet")).cache()
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    model = quality.fit(stats, labels, 60)
+    rows = stats.join(labels.select("doc_id", "quality"), "doc_id").toPandas()
+    s = rows[list(quality.STATISTICS)].to_numpy()
+    open_ = ~quality.base_failed(s)
+    x, good = quality.features(s[open_]), rows["quality"].to_numpy()[open_] > 0
+    score = model.forest.score(x)
+    assert len(x) > 100 and model.threshold == pytest.approx(quality.calibrate(score[good], score[~good]), rel=1e-12)
+    assert (quality.feature_box(stats.join(labels.withColumnRenamed("quality", "_quality"), "doc_id")) == [x.min(axis=0), x.max(axis=0)]).all()
+    for rows in ([(True, 0.5)], [(True, 0.25), (False, 0.75)], [(False, 0.25), (True, 0.5), (False, 0.5), (True, 0.5001), (False, 0.9)] * 30):
+        own = np.array([v for g, v in rows if g]), np.array([v for g, v in rows if not g])
+        assert quality.threshold(spark.createDataFrame(rows, "good boolean, score double")) == quality.calibrate(*own)
+    stats.unpersist()
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(ODD)] + [(None, ODD[6], "s", 1)], "doc_id long, text string, score string, kept int")
     stats = quality.rule_statistics(docs)
