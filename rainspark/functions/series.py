@@ -37,6 +37,16 @@ def decluster(events: Column, gap_days: int) -> Column:
     )
 
 
+def felt_terms(x: Column, terms: int) -> Column:
+    """How many of the terms (-1)^(j-1) exp(x j^2), x at most 0, can change their sum; `terms` at most.
+
+    They alternate and fall, so all partial sums lie between exp(x) - exp(4x) and exp(x). A term with
+    -x (j^2 - 1) > 45 is below half the last bit of these, for up to 100 terms.
+    """
+    last = F.sqrt(F.lit(1.0) + F.lit(45.0) / F.nullif(-x, F.lit(0.0)))
+    return F.ceil(F.least(F.lit(float(terms)), last)).cast("int")
+
+
 def ks_p_value(d: Column, n: Column, terms: int = 100) -> Column:
     """Asymptotic Kolmogorov p-value with the small-sample argument, clamped to [0, 1]."""
     en = F.sqrt(n.cast("double"))
@@ -44,7 +54,7 @@ def ks_p_value(d: Column, n: Column, terms: int = 100) -> Column:
 
     def series(x: Column) -> Column:
         return F.aggregate(
-            F.sequence(F.lit(1), F.lit(terms)),
+            F.sequence(F.lit(1), felt_terms(x, terms)),
             F.lit(0.0),
             lambda s, j: s + F.when(j % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.exp(x * j * j),
         )

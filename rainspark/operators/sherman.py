@@ -128,12 +128,12 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
-def fit_sherman(df: DataFrame, periods: Sequence[float] = RETURN_PERIODS) -> DataFrame:
-    """Adds K, a, b, c, R2, RMSE, MSE, at_bound to rows with AMD_mean, AMD_std and `dur`.
+def period_sums(df: DataFrame, periods: Sequence[float] = RETURN_PERIODS) -> DataFrame:
+    """Adds what a fit needs of the quantiles of AMD_mean and AMD_std: the exponent a, and sums over the periods.
 
-    NULL where a quantile is missing or not positive, or where the ratio vector could not be
-    fitted. The sums over the periods are folds over one short array: written out, they make the
-    generated method of a stage that goes on to serve the fit too large to compile.
+    None of it depends on the ratio vector, so rows that meet several vectors take it once, before they are joined with
+    them. The sums are folds over one short array: written out, they make the generated method of a stage that
+    goes on to serve the fit too large to compile. NULL where a quantile is missing or not positive.
     """
     m = len(periods)
     x = [math.log10(t) for t in periods]
@@ -149,18 +149,25 @@ def fit_sherman(df: DataFrame, periods: Sequence[float] = RETURN_PERIODS) -> Dat
     out = out.withColumns({
         "_slope": _total(F.zip_with("_y", weights, lambda y, w: y * w)), "_ym": _total(F.col("_y")) / F.lit(float(m)),
         "_qs": _total(q), "_qq": _total(F.transform(q, lambda v: v * v)),
-        "b": F.col("dur.b"), "c": F.col("dur.c"),
     })
     slope = F.col("_slope")
     out = out.withColumn("a", F.when(slope.isNotNull(), F.least(F.greatest(slope, F.lit(-1.0)), F.lit(1.0))))
+    out = out.withColumn("_ta", F.transform(years, lambda t: F.pow(t, F.col("a"))))
+    # fitted intensity is K T_i^a g_j; sums over j are known per ratio vector
+    return out.withColumns({
+        "_qt": _total(F.zip_with(q, "_ta", lambda v, t: v * t)), "_tt": _total(F.transform("_ta", lambda t: t * t)),
+    }).drop("_q", "_y", "_slope", "_ta")
+
+
+def fit_sums(df: DataFrame, periods: Sequence[float] = RETURN_PERIODS) -> DataFrame:
+    """Adds K, b, c, R2, RMSE, MSE, at_bound to rows of `period_sums` that have `dur`, by plain arithmetic."""
+    m = len(periods)
+    x_mean = sum(math.log10(t) for t in periods) / m
+    out = df.withColumns({"b": F.col("dur.b"), "c": F.col("dur.c")})
     log_k = (
         F.col("_ym") + F.col("dur.zm") - F.col("a") * F.lit(x_mean) + F.col("c") * F.col("dur.xm")
     )
-    out = out.withColumns({"K": F.pow(F.lit(10.0), log_k), "_ta": F.transform(years, lambda t: F.pow(t, F.col("a")))})
-    # fitted intensity is K T_i^a g_j; sums over j are known per ratio vector
-    out = out.withColumns({
-        "_qt": _total(F.zip_with(q, "_ta", lambda v, t: v * t)), "_tt": _total(F.transform("_ta", lambda t: t * t)),
-    })
+    out = out.withColumn("K", F.pow(F.lit(10.0), log_k))
     k = F.col("K")
     residual = (
         F.col("_qq") * F.col("dur.ss") - F.lit(2.0) * k * F.col("_qt") * F.col("dur.sg")
@@ -179,10 +186,18 @@ def fit_sherman(df: DataFrame, periods: Sequence[float] = RETURN_PERIODS) -> Dat
             "a": F.when(fitted, F.col("a")),
             "at_bound": F.when(fitted, F.col("dur.at_bound")),
         })
-        .drop("_q", "_y", "_slope", "_ym", "_sse", "_qs", "_qq", "_ta", "_qt", "_tt")
+        .drop("_ym", "_sse", "_qs", "_qq", "_qt", "_tt")
     )
 
 
+def fit_sherman(df: DataFrame, periods: Sequence[float] = RETURN_PERIODS) -> DataFrame:
+    """Adds K, a, b, c, R2, RMSE, MSE, at_bound to rows with AMD_mean, AMD_std and `dur`.
+
+    NULL where a quantile is missing or not positive, or where the ratio vector could not be fitted.
+    """
+    return fit_sums(period_sums(df, periods), periods)
+
+
 def intensity_table(
     quantiles: DataFrame, ratios: DataFrame, on: Sequence[str], keys: Sequence[str],
     durations: Sequence[int] = DURATIONS_MIN,

@@ -35,11 +35,11 @@ def duration_fits(
 def fit_parameters(amax: DataFrame, fits: DataFrame) -> DataFrame:
     """(product, bias, disagg, row, col, 13 bands, at_bound), unfilled.
 
-    Statistics and the goodness-of-fit test are taken once per product and bias option, whatever
-    the number of modes.
+    Statistics, the goodness-of-fit test and the sums over the return periods are taken once per product and bias
+    option, whatever the number of modes.
     """
-    stats = gumbel.gumbel_ks(amax, KEYS)
-    return sherman.fit_sherman(stats.join(fits, ["row", "col"])).select(
+    stats = sherman.period_sums(gumbel.gumbel_ks(amax, KEYS))
+    return sherman.fit_sums(stats.join(fits, ["row", "col"])).select(
         *COMBO, "row", "col", *PARAMETER_BANDS, "at_bound"
     )
 

@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from checks import tables
 from rainspark import session
 from rainspark.operators import bias, calendar, extremes, raster
+from rainspark.plans import idf_fit
 from rainspark.sources import daily
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -109,3 +110,11 @@ def test_one_station_with_most_pairs(spark):
     assert bias.zeta(pairs, min_samples=20001).count() == 0
     with pytest.raises(ValueError, match="unknown zeta method"):
         bias.zeta(pairs, "mode")
+
+
+def test_sums_over_periods_are_taken_before_the_modes(spark):
+    """The rows of a cell take its logarithms and powers once, before they are joined with the vectors of the modes."""
+    fits = session.materialise(idf_fit.duration_fits(tables.fine_cells(spark, SF_DIR)), "fits")
+    fitted = idf_fit.fit_parameters(tables.corrected_amax(spark, SF_DIR), fits)
+    text = fitted._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join") < min(m.start() for m in re.finditer("LOG10", text))

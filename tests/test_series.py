@@ -133,3 +133,16 @@ def test_pchip_with_linear_tails(spark):
     y = series.hermite_with_linear_tails(F.col("x"), F.col("p"), F.col("g"), F.col("d"))
     for r in df.withColumn("y", y).collect():
         assert r.y == pytest.approx(pchip(r.x, np.array(r.p), np.array(r.g)), abs=1e-9)
+
+
+def test_terms_left_out_change_no_sum(spark):
+    """The few terms that are felt give the sum of all hundred to the last bit."""
+    def total(x, last):
+        return F.aggregate(F.sequence(F.lit(1), last), F.lit(0.0), lambda s, j: s + F.when(j % 2 == 1, 1.0).otherwise(-1.0) * F.exp(x * j * j))
+
+    x = F.col("x")
+    rows = [(-(10 ** (i / 100)),) for i in range(-1200, 250)] + [(-0.0,), (-0.0045,), (-0.0046,)]
+    few = series.felt_terms(x, 100)
+    got = spark.createDataFrame(rows, "x double").select("x", few.alias("n"), total(x, few).alias("few"), total(x, F.lit(100)).alias("full")).collect()
+    assert [r.x for r in got if r.few != r.full] == []
+    assert {r.n for r in got if -0.001 < r.x} == {100} and max(r.n for r in got if r.x < -0.5) <= 10
