@@ -50,8 +50,8 @@ def parameters_from_gauges(
         bias_correction.station_zetas(gauge_daily, stations, product_daily, product_grid, zeta_method, order=order), "zetas"
     )
     surface = bias_correction.zeta_surface(zetas, _per_product(cells, products), k, method=method, boundary=boundary)
-    # the fit reads the maxima twice
-    maxima = materialise(both_options(amax, surface, products, grid, grid), "maxima")
+    # the fit reads the maxima once, so they need not be written
+    maxima = both_options(amax, surface, products, grid, grid)
     return idf_fit.parameter_table(maxima, cells, station_ratios, vectors)
 
 

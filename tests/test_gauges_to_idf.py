@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rainspark.grid import Grid
 from rainspark.operators.polygons import rectangle
-from rainspark.plans import bias_correction, gauges_to_idf
+from rainspark.plans import bias_correction, gauges_to_idf, idf_fit
 from rainspark.sources.products import in_years
 
 GRID = Grid(0.0, 10.0, 1.0, 1.0, 10, 10)
@@ -52,3 +52,16 @@ def test_surface_of_the_nearest_station_inside_the_boundary(spark, method):
 def test_unknown_method(spark):
     with pytest.raises(ValueError):
         bias_correction.zeta_surface(spark.createDataFrame([], "product string, station_id string, zeta double, n_pairs long, lat double, lon double"), None, method="spline")
+
+
+def test_maxima_go_to_the_fit_unwritten(spark, products, monkeypatch):
+    """They are read once, so the fit gets the join itself and not a table written by as few tasks as its bytes ask for."""
+    zetas = spark.createDataFrame([(p, "s1", 2.0, 20, 8.5, 1.5) for p in "AC"], "product string, station_id string, zeta double, n_pairs long, lat double, lon double")
+    monkeypatch.setattr(bias_correction, "station_zetas", lambda *_, **__: zetas)
+    monkeypatch.setattr(idf_fit, "parameter_table", lambda maxima, *_: maxima)
+    cells = spark.createDataFrame([(0, 0, 9.5, 0.5)], "row int, col int, lat double, lon double")
+    amax = spark.createDataFrame([(p, 0, 0, 2003, 10.0) for p in "ABC"], "product string, row int, col int, year int, mm double")
+    maxima = gauges_to_idf.parameters_from_gauges(None, None, None, GRID, amax, cells, GRID, products)
+    assert "Union" in maxima._jdf.queryExecution().optimizedPlan().toString()
+    raw, corrected = {(p, "RAW", 0, 0, 2003, 10.0) for p in "AB"}, {(p, "BC", 0, 0, 2003, 20.0) for p in "AC"}
+    assert {tuple(r) for r in maxima.collect()} == raw | corrected
