@@ -30,7 +30,7 @@ PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Pieces kept by a worker, and the longest piece that is kept.
+#: Pieces kept during a task, and the longest piece that is kept.
 KEPT_PIECES, KEPT_LENGTH = 400_000, 48
 
 
@@ -63,7 +63,7 @@ class Bpe:
         self.decimals = Strings([b"%d," % i for i in range(max(strings) + 1)])
         self.pattern = regex.compile(PIECES)
         self.cuts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        #: two generations of a worker's frequent pieces
+        #: two generations of a task's frequent pieces
         self.kept: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -110,6 +110,10 @@ class Bpe:
             self.kept[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drops the kept pieces; the vocabulary stays."""
+        self.kept, self.older = {}, {}
+
     def encode(self, text: str) -> np.ndarray:
         parts = self.cuts.split(text) if self.cuts and self.cuts.search(text) else [text]
         found: list[tuple[int, ...]] = []
@@ -149,13 +153,18 @@ def vocabulary(vocabulary_file: str) -> Bpe:
 def encoded(batches: Iterator[pa.RecordBatch], vocabulary_file: str) -> Iterator[pa.RecordBatch]:
     """doc_id and ids of batches of doc_id and text."""
     bpe = vocabulary(vocabulary_file)
-    for part in words.slices(batches):
-        ids = [bpe.encode(t) if t else np.zeros(0, np.int32) for t in part.column("text").to_pylist()]
-        offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))],
-            names=["doc_id", "ids"],
-        )
+    try:
+        for part in words.slices(batches):
+            ids = [bpe.encode(t) if t else np.zeros(0, np.int32) for t in part.column("text").to_pylist()]
+            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))],
+                names=["doc_id", "ids"],
+            )
+    finally:
+        # a worker outlives its task and may wait beside other work
+        bpe.forget()
+        pa.default_memory_pool().release_unused()
 
 
 def decoded(batches: Iterator[pa.RecordBatch], vocabulary_file: str) -> Iterator[pa.RecordBatch]:

@@ -212,7 +212,9 @@ def threshold(scores: DataFrame, price: float = PRICE) -> float:
     for at, more_good, more_bad in sums:
         below.append((at, n_good, n_bad))
         n_good, n_bad = n_good + more_good, n_bad + more_bad
-    started = counts.join(scores.sparkSession.createDataFrame(below, "slice long, good_below long, bad_below long"), "slice")
+    # an Arrow table reaches the executors without Python workers of its own, which rows of a list would start
+    sums_below = pa.table(dict(zip(("slice", "good_below", "bad_below"), (pa.array(c, pa.int64()) for c in zip(*below)))))
+    started = counts.join(scores.sparkSession.createDataFrame(sums_below), "slice")
     upto = W.partitionBy("slice").orderBy("score")
     lost = F.lit(1.0) - (F.sum("good").over(upto) + F.col("good_below")) / F.lit(float(n_good))
     caught = F.lit(1.0) - (F.sum("bad").over(upto) + F.col("bad_below")) / F.lit(float(max(n_bad, 1)))

@@ -90,6 +90,19 @@ def test_box_and_threshold_come_from_all_labelled_rows(spark):
     stats.unpersist()
 
 
+def test_threshold_starts_no_workers_for_its_sums(spark, monkeypatch):
+    """Rows of a list would be dealt to Python workers of another kind, which wait beside those of the operators."""
+    rows = [(True, 0.5), (False, 0.9), (True, 0.5001), (False, 0.25)] * 30
+    scores = spark.createDataFrame(rows, "good boolean, score double").localCheckpoint()
+
+    def refuse(*_):
+        raise AssertionError("rows of a list")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", refuse)
+    own = np.array([v for g, v in rows if g]), np.array([v for g, v in rows if not g])
+    assert quality.threshold(scores) == quality.calibrate(*own)
+
+
 def test_quality_of_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(ODD)] + [(None, ODD[6], "s", 1)], "doc_id long, text string, score string, kept int")
     stats = quality.rule_statistics(docs)

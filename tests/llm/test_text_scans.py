@@ -5,6 +5,7 @@ import re
 import uuid
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -64,6 +65,16 @@ def test_bpe_equals_the_library(spark, odd):
     assert bpe.encode(odd, file).count() == len(ODD) and bpe.encode(odd.limit(0), file).count() == 0
 
 
+def test_a_worker_keeps_no_pieces_after_its_task():
+    """It waits beside the work of later stages, whose memory it shares."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words, and others", None]})
+    tasks = bpe.encoded(iter([batch]), file)
+    assert next(tasks).num_rows == 2 and bpe.vocabulary(file).kept
+    assert not list(tasks)
+    assert not bpe.vocabulary(file).kept and not bpe.vocabulary(file).older
+
+
 def test_bpe_on_random_strings():
     import random
 
