@@ -103,6 +103,41 @@ def test_lines_of_repeated_and_nameless_rows(spark):
     assert line_dedup.dedup(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_edits_piece_by_piece(spark):
+    """Near copies, also long ones, are told apart from others without the product of their lengths."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdéfgh😀") for _ in range(rng.randrange(2, 8))) for _ in range(200)]
+
+    def changed(x, share):
+        w = [rng.choice(words) if rng.random() < share else v for v in x.split(" ")]
+        return " ".join(v for v in w if rng.random() >= share / 2)
+
+    pairs = []
+    for n in (1, 8, 30, 40, 50):
+        for share in (0, 0.02, 0.05, 0.1, 0.3, 1):
+            x = " ".join(rng.choice(words) for _ in range(n))
+            pairs += [(x, y) for y in (changed(x, share), x[n:] + x[:n], x + x[: n * 2], "")]
+    x, y, most = F.col("x"), F.col("y"), F.floor(F.greatest(F.length("x"), F.length("y")) * 20 / 100).cast("int")
+    rows = spark.createDataFrame(pairs, "x string, y string").select("x", "y", most.alias("most"), line_dedup.edits_at_most(x, y, most).alias("n")).collect()
+    true = [distance(r.x, r.y) for r in rows]
+    assert all(r.n > r.most or r.n >= d for r, d in zip(rows, true))
+    near = [r for r, d in zip(rows, true) if d <= r.most and len(r.x) >= line_dedup.PIECED]
+    assert len(near) >= 9 and sum(r.n <= r.most for r in near) >= 0.8 * len(near)
+    long = " ".join(rng.choice(words) for _ in range(20000))
+    runs = " ".join(" ".join([w] * rng.randrange(100, 300)) for w in words[:40])
+    big = spark.createDataFrame([(long, changed(long, 0.04)), (runs, runs.replace(f" {words[7]}", "", 50))], "x string, y string")
+    assert big.where(line_dedup.edits_at_most(x, y, most) <= most).count() == 2
+
+
+def test_filter_keeps_all_wanted(spark):
+    rows = spark.range(-3000, 3000).select((F.col("id") * 7919 * 7919 * 7919).alias("key"), F.col("id").alias("_word"))
+    wanted = rows.where("_word % 5 = 0").select("key")
+    got = line_dedup.flagged(rows.withColumnRenamed("_word", "id"), wanted, "key")
+    assert got.columns == ["key", "id", "_may"] and got.count() == 6000
+    assert got.where("id % 5 = 0 and not _may").isEmpty() and got.where("_may").count() < 1500
+    assert line_dedup.likely(rows.select("key"), wanted.limit(0), "key").isEmpty()
+
+
 def test_long_lines_count_bit_by_bit(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("abcdef") * rng.randrange(1, 4) for _ in range(n))) for i, n in enumerate((1, 5, 40, 300))]
