@@ -200,6 +200,30 @@ def test_solve_agrees_with_the_pseudo_inverse(field):
         np.testing.assert_allclose(kriging._solve(x, y, z, d0, v), want, atol=1e-9)
 
 
+def test_points_at_one_place_are_solved_as_one(monkeypatch):
+    """As the pseudo-inverse of all points has it, from systems of as many rows as there are places."""
+    rng = np.random.default_rng(11)
+    x, y = rng.uniform(0, 9, (2, 40, 8))
+    for r in range(1, 40):
+        take = rng.integers(0, 1 + r % 8, 8)
+        x[r], y[r] = x[r][take], y[r][take]
+    z, d0 = rng.uniform(0.2, 5, (40, 8)), np.hypot(x - 4, y - 4)
+    sizes = []
+    inverse = np.linalg.pinv
+    for v in (kriging.Variogram("spherical", 2.0, 5.0, 0.1), kriging.Variogram("linear", 0.5, 1.0, 0.0), kriging.Variogram("spherical", 0.0, 1.0, 0.0)):
+        want = []
+        for r in range(40):
+            a = np.ones((9, 9))
+            d = np.hypot(x[r][:, None] - x[r], y[r][:, None] - y[r])
+            a[:8, :8], a[8, 8] = np.where(d > 0, v(d), 0.0), 0.0
+            want.append((inverse(a, hermitian=True, rcond=1e-12) @ np.append(np.where(d0[r] > 0, v(d0[r]), 0.0), 1.0))[:8] @ z[r])
+        with monkeypatch.context() as at:
+            at.setattr(np.linalg, "pinv", lambda a, **b: sizes.append(len(a)) or inverse(a, **b))
+            np.testing.assert_allclose(kriging._solve(x, y, z, d0, v), want, atol=1e-9)
+        # without any variance all places are alike, and only then there is no other way
+        assert v.sill == 0 or not sizes
+
+
 @pytest.mark.parametrize("model", kriging.MODELS)
 def test_kriging_is_exact_at_data_and_keeps_constants(spark, field, model):
     pts = spark.createDataFrame(field)
